@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import importance, langid, line_dedup, mixing, packing, quality_rules, sharding, token_output
+from . import importance, langid, line_dedup, media, mixing, ngram_join, packing, quality_rules, sharding, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": lambda s, d: ngram_join.ngram_join(_documents(s, d)),
+        "op2_media_columns": lambda s, d: media.media_columns(_documents(s, d)),
         "op3_line_dedup": lambda s, d: line_dedup.line_dedup(_documents(s, d)),
         "op4_token_output": lambda s, d: token_output.token_output(_documents(s, d)),
         "op5_language_id": lambda s, d: langid.language_id(_documents(s, d)),
