@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
 #: Most centres of a bucket in one round.
-CENTRES = 32
+CENTRES = 256
+#: 64-bit parity words of a set: each member flips the bit that the top ten bits of its hash name.
+WORDS = 16
 
 
 def connected(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
@@ -42,53 +44,75 @@ def connected(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
             scratch.drop(f"{name}-near{turn - 1}", f"{name}-step{turn - 1}", f"{name}-{turn - 2}")
 
 
-def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], id_type: str = "long") -> DataFrame:
+def parity(shingle: Column, word: int) -> Column:
+    """This shingle's bit in one of the WORDS parity words of its set, for bit_xor."""
+    place = F.shiftrightunsigned(shingle, 54)
+    return F.when(F.shiftright(place, 6) == word, F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
+
+
+def may_link(similarity: int, a: str, b: str) -> Column:
+    """False only for pairs below 100 times the similarity, by their sizes and parity words.
+
+    Words differ in no more bits than the sets in members, and sets that link differ in
+    no more members than both sizes less twice the least number shared.
+    """
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    total = na + nb
+    least = F.ceil(total * similarity / F.lit(100.0 + similarity) - F.lit(1e-6))
+    differ = sum((F.bit_count(F.col(f"{a}.g{w}").bitwiseXOR(F.col(f"{b}.g{w}"))) for w in range(1, WORDS)), F.bit_count(F.col(f"{a}.g0").bitwiseXOR(F.col(f"{b}.g0"))))
+    return (100 * F.least(na, nb) >= similarity * F.greatest(na, nb)) & (differ <= total - 2 * least)
+
+
+def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items: DataFrame, similarity: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """id and label of every item with a verified link, smallest id of its component.
 
     ``first`` has pairs a < b to verify at once, ``members`` the buckets (bucket, id)
-    of any size within which every pair may link. Two components of a bucket are left
-    apart only after all pairs between them have been verified: each round takes
-    centres from a bucket, those of the largest labels first, verifies each against
-    the members of other components, and then takes the centres out. Buckets of one
-    component are done. A bucket is first compared by one centre, and the number of
-    centres doubles with each round.
+    of any size within which every pair may link, ``items`` the size n and the parity
+    words g0, g1, ... of each id of a bucket. In the first round each item is held
+    against one centre of its first bucket, which joins most of a large group. Two
+    components of a bucket are left apart only after all pairs between them have been
+    held against each other: each further round takes centres from a bucket, those of
+    the largest labels first, compares each with the members of other components, and
+    then takes the centres out. Pairs that pass ``may_link`` are verified. Buckets of
+    one component are done.
     """
-    members = scratch.keep("members", members.select("bucket", "id").distinct())
-    tried = None
-    links = None
-    labels = None
+    members = scratch.keep("members", members.select("bucket", "id").distinct().join(items, "id"))
+    data = [c for c in members.columns if c not in ("bucket", "id")]
+    own = members.groupBy("id").agg(F.min("bucket").alias("bucket"))
+    labels = links = tried = None
     turn = 0
-    pairs = first.select("a", "b")
     while True:
         turn += 1
         if turn == 1:
-            live = members.withColumn("label", F.col("id"))
+            live = members.join(scratch.keep("first", own), ["id", "bucket"], "left_semi").withColumn("label", F.col("id"))
         else:
-            known = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-            known = scratch.keep(f"known{turn}", known)
+            known = scratch.keep(f"known{turn}", members.join(labels, "id", "left").select("bucket", "id", *data, F.coalesce("label", "id").alias("label")))
             open_ = scratch.keep(f"open{turn}", known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket"))
             live = scratch.keep(f"live{turn}", known.join(open_, "bucket", "left_semi"))
-        slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(min(CENTRES, 1 << (turn - 1))))
-        best = live.groupBy("bucket", slot.alias("slot")).agg(F.max("label").alias("centre_label"))
-        # the largest id of the largest label stands for its slot
-        mine = live.withColumn("slot", slot).join(scratch.keep(f"best{turn}", best), ["bucket", "slot"]).where("label = centre_label")
-        centres = scratch.keep(f"centres{turn}", mine.groupBy("bucket", "slot", "centre_label").agg(F.max("id").alias("centre")).select("bucket", "centre", "centre_label"))
-        star = live.join(centres, "bucket").where("label != centre_label")
-        star = star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-        pairs = (pairs.union(star) if turn == 1 else star).distinct()
+            scratch.drop(f"known{turn}", f"members{turn - 1}")
+        # each slot of a bucket has one centre: the largest id of its largest label
+        slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 if turn < 3 else min(CENTRES, 4 ** (turn - 2)))).cast("int")
+        best = scratch.keep(f"best{turn}", live.groupBy("bucket", slot.alias("slot")).agg(F.max("label").alias("top")))
+        mine = live.withColumn("slot", slot).join(best, ["bucket", "slot"]).where("label = top")
+        ids = scratch.keep(f"ids{turn}", mine.groupBy("bucket", "slot").agg(F.max("id").alias("id")))
+        centres = scratch.keep(f"centres{turn}", live.join(ids.select("bucket", "id"), ["bucket", "id"]))
+        held = F.col("x.bucket") == F.col("y.bucket")
+        apart = F.col("x.id") != F.col("y.id") if turn == 1 else F.col("x.label") != F.col("y.label")
+        star = live.alias("x").join(centres.alias("y"), held & apart & may_link(similarity, "x", "y"))
+        star = star.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        pairs = (first.select("a", "b").union(star) if turn == 1 else star).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.keep(f"pairs{turn}", pairs)
-        new = scratch.keep(f"links{turn}", verify(pairs).select("a", "b"))
         tried = pairs if tried is None else tried.union(pairs)
-        if links is None:
-            links, grew = new, True
-        else:
-            grew = bool(new.take(1))
-            links = links.union(new) if grew else links
-        if grew:
+        new = scratch.keep(f"links{turn}", verify(pairs).select("a", "b"))
+        if links is None or new.take(1):
+            links = new if links is None else links.union(new)
             labels = connected(scratch, links, f"labels{turn}")
-        gone = centres.select("bucket", F.col("centre").alias("id"))
-        members = scratch.keep(f"members{turn}", live.select("bucket", "id").join(gone, ["bucket", "id"], "left_anti"))
+        if turn > 1:
+            gone = centres.select("bucket", "id")
+            members = scratch.keep(f"members{turn}", live.select("bucket", "id", *data).join(gone, ["bucket", "id"], "left_anti"))
+            scratch.drop(f"live{turn}")
+        scratch.release()
         if not members.take(1):
             return labels

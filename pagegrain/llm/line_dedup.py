@@ -14,7 +14,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import link_buckets
+from .components import WORDS, link_buckets, parity
 from .scratch import Scratch
 
 #: Characters of a shingle; lines with fewer than MIN_CHARS characters are never dropped.
@@ -72,6 +72,10 @@ def _components(scratch: Scratch, lines: DataFrame) -> DataFrame:
     sets = scratch.keep("sets", texts.select("key", _units("line").alias("units")).select("key", _shingles(texts).alias("s")))
     scratch.release()
 
+    shingle = sets.join(members.select(F.col("id").alias("key")).distinct(), "key", "left_semi").select("key", F.explode("s").alias("h"))
+    words = [F.bit_xor(parity(F.col("h"), w)).alias(f"g{w}") for w in range(WORDS)]
+    items = shingle.groupBy("key").agg(F.count("*").alias("n"), *words).withColumnRenamed("key", "id")
+
     def verify(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
         b = sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
@@ -79,7 +83,7 @@ def _components(scratch: Scratch, lines: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("sa", "sb"))
         return sized.withColumn("both", both).where(100 * F.col("both") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("both")))
 
-    return link_buckets(scratch, first, members, verify)
+    return link_buckets(scratch, first, members, items, SIMILARITY, verify)
 
 
 def dropped_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import Text, as_long, chunks, lists, mix, shingles
+from .components import WORDS as PARITY
 from .components import link_buckets
 from .scratch import Scratch
 
@@ -33,6 +34,7 @@ WORDS = 5
 SIMILARITY = 80
 #: Groups that post a shingle before it counts as frequent.
 MANY = 16
+CELLS = 64 * PARITY
 #: The part of the hash space that is posted first: a quarter.
 LOW = np.uint64(1 << 62)
 
@@ -72,7 +74,10 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
             found, counts = shingles(Text(part.column("text")), WORDS)
-            yield pa.RecordBatch.from_arrays([part.column("id"), lists(pa.array(as_long(found)), counts)], ["id", "s"])
+            own = np.repeat(np.arange(len(counts)), counts)
+            odd = np.bincount(own * CELLS + (found >> np.uint64(54)).astype(np.int64), minlength=len(counts) * CELLS) & 1
+            words = np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view(np.int64).reshape(len(counts), PARITY)
+            yield pa.RecordBatch.from_arrays([part.column("id"), lists(pa.array(as_long(found)), counts), *(pa.array(words[:, w]) for w in range(PARITY))], ["id", "s", *(f"g{w}" for w in range(PARITY))])
 
 
 def _prefix(n: Column) -> Column:
@@ -153,7 +158,7 @@ def ngram_join(documents: DataFrame) -> DataFrame:
     wanted = scratch.keep("wanted", classes.join(needed, "id", "left_semi").select("id", "row_doc", "row_text"))
     rows = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("row_doc")) & (F.col("text_hash") == F.col("row_text")))
     # rows that repeat a doc_id and a text come more than once
-    sets = rows.select("id", "text").mapInArrow(_whole, "id long, s array<long>")
+    sets = rows.select("id", "text").mapInArrow(_whole, "id long, s array<long>, " + ", ".join(f"g{w} long" for w in range(PARITY)))
     sets = scratch.keep("sets", sets.dropDuplicates(["id"]))
     scratch.release()
 
@@ -183,6 +188,8 @@ def ngram_join(documents: DataFrame) -> DataFrame:
     buckets = buckets.union(sides.join(member.select("id", "leader"), "leader").select("bucket", "id"))
     buckets = buckets.union(lists_.select(F.concat_ws("/", F.lit("s"), "shingle").alias("bucket"), "id"))
 
+    items = sets.select("id", F.size("s").cast("long").alias("n"), *(f"g{w}" for w in range(PARITY)))
+
     def verify(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
         b = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
@@ -190,7 +197,7 @@ def ngram_join(documents: DataFrame) -> DataFrame:
         both = sized.withColumn("both", F.size(F.array_intersect("sa", "sb")))
         return both.where(100 * F.col("both") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("both")))
 
-    labels = link_buckets(scratch, pairs.union(more).distinct(), buckets, verify)
+    labels = link_buckets(scratch, pairs.union(more).distinct(), buckets, items, SIMILARITY, verify)
     node = scratch.keep("nodes", classes.join(labels, "id", "left").select("n", "set1", "set2", "doc_id", F.coalesce("label", "id").alias("label")))
     lowest = scratch.keep("lowest", node.groupBy("label").agg(F.min("doc_id").alias("component_id")))
     joined = scratch.keep("joined", node.join(lowest, "label").select("n", "set1", "set2", F.col("doc_id").alias("class_id"), "component_id"))
