@@ -1,7 +1,7 @@
 """Fuzzy line dedup, in DataFrame operations alone.
 
 A line is the set of its character shingles. Signatures are MinHashes over the
-shingles whose hash falls in a fixed quarter of the hash space, seeded by XOR; lines
+shingles whose hash falls in a fixed half of the hash space, seeded by XOR; lines
 that share a band of the signature are candidates, verified by the Jaccard
 similarity of their whole shingle sets. Verified links are joined by a distributed
 union-find, and of each component the first line in order of document stays.
@@ -22,8 +22,8 @@ SHINGLE = 8
 MIN_CHARS = 16
 #: 100 times the similarity from which two lines are the same.
 SIMILARITY = 80
-BANDS, ROWS = 10, 3
-SAMPLED_BITS = 2
+BANDS, ROWS = 10, 4
+SAMPLED_BITS = 1
 
 _random = random.Random(8)
 SEEDS = [_random.getrandbits(62) for _ in range(BANDS * ROWS)]
@@ -34,9 +34,16 @@ def _units(line: Column | str) -> Column:
     return F.encode(line, "UTF-16BE")
 
 
-def _shingles(lines: DataFrame) -> Column:
-    """All distinct shingle hashes of ``units``."""
-    return F.expr(f"array_distinct(transform(sequence(1, greatest(octet_length(units) - {2 * SHINGLE - 1}, 1), 2), i -> xxhash64(substring(units, i, {2 * SHINGLE}))))")
+def _shingles(units: str) -> Column:
+    """All distinct shingle hashes of a line's units."""
+    return F.expr(f"array_distinct(transform(sequence(1, octet_length({units}) - {2 * SHINGLE - 1}, 2), i -> xxhash64(substring({units}, i, {2 * SHINGLE}))))")
+
+
+def _exploded(lines: DataFrame) -> DataFrame:
+    """key and h, a row for each shingle of each line."""
+    units = lines.select("key", _units("line").alias("units"))
+    at = F.explode(F.expr(f"sequence(1, octet_length(units) - {2 * SHINGLE - 1}, 2)"))
+    return units.select("key", "units", at.alias("at")).select("key", F.xxhash64(F.expr(f"substring(units, at, {2 * SHINGLE})")).alias("h"))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -48,10 +55,7 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 def _bands(lines: DataFrame) -> DataFrame:
     """key and the hashes of its signature's bands. Equal lines meet in one row."""
-    units = lines.select("key", _units("line").alias("units"))
-    at = F.explode(F.expr(f"sequence(1, octet_length(units) - {2 * SHINGLE - 1}, 2)"))
-    shingle = units.select("key", "units", at.alias("at")).select("key", F.xxhash64(F.expr(f"substring(units, at, {2 * SHINGLE})")).alias("h"))
-    sampled = shingle.where(F.col("h").bitwiseAND((1 << SAMPLED_BITS) - 1) == 0)
+    sampled = _exploded(lines).where(F.col("h").bitwiseAND((1 << SAMPLED_BITS) - 1) == 0)
     signed = sampled.groupBy("key").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{i}") for i, s in enumerate(SEEDS)])
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + i}" for i in range(ROWS)]) for b in range(BANDS)]
     return signed.select("key", F.array(*bands).alias("bands"))
@@ -68,20 +72,19 @@ def _components(scratch: Scratch, lines: DataFrame) -> DataFrame:
     members = rows.join(found.where("n > 2").select("bucket"), "bucket", "left_semi").select("bucket", F.col("key").alias("id"))
     members = scratch.keep("large", members)
     needed = scratch.keep("needed", first.select(F.explode(F.array("a", "b")).alias("key")).union(members.select("id")).distinct())
-    texts = lines.select("key", "line").join(needed, "key", "left_semi").dropDuplicates(["key"])
-    sets = scratch.keep("sets", texts.select("key", _units("line").alias("units")).select("key", _shingles(texts).alias("s")))
+    texts = lines.select("key", "line").join(needed, "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
+    texts = scratch.keep("texts", texts)
     scratch.release()
-
-    shingle = sets.join(members.select(F.col("id").alias("key")).distinct(), "key", "left_semi").select("key", F.explode("s").alias("h"))
+    shingle = _exploded(texts.join(members.select(F.col("id").alias("key")).distinct(), "key", "left_semi")).distinct()
     words = [F.bit_xor(parity(F.col("h"), w)).alias(f"g{w}") for w in range(WORDS)]
     items = shingle.groupBy("key").agg(F.count("*").alias("n"), *words).withColumnRenamed("key", "id")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
-        b = sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
-        sized = pairs.join(a, "a").join(b, "b").where(100 * F.least(F.size("sa"), F.size("sb")) >= SIMILARITY * F.greatest(F.size("sa"), F.size("sb")))
-        both = F.size(F.array_intersect("sa", "sb"))
-        return sized.withColumn("both", both).where(100 * F.col("both") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("both")))
+        a = texts.select(F.col("key").alias("a"), _units("line").alias("ua"))
+        b = texts.select(F.col("key").alias("b"), _units("line").alias("ub"))
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", _shingles("ua").alias("sa"), _shingles("ub").alias("sb"))
+        shared = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+        return shared.where(100 * F.col("shared") >= SIMILARITY * (F.col("total") - F.col("shared")))
 
     return link_buckets(scratch, first, members, items, SIMILARITY, verify)
 
