@@ -32,16 +32,25 @@ def connected(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     turn = 0
     while True:
         turn += 1
-        near = scratch.keep(f"{name}-near{turn}", edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near")))
-        step = scratch.keep(f"{name}-step{turn}", labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old")))
+        near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         root = step.select(F.col("id").alias("label"), F.col("label").alias("root"))
-        moved = step.join(root, "label").select("id", F.col("root").alias("label"), (F.col("root") != F.col("old")).alias("moved"))
-        labels = scratch.keep(f"{name}-{turn}", moved)
-        if not labels.where("moved").count():
-            return labels.select("id", "label")
-        labels = labels.select("id", "label")
-        if turn > 1:
-            scratch.drop(f"{name}-near{turn - 1}", f"{name}-step{turn - 1}", f"{name}-{turn - 2}")
+        moved = scratch.keep(f"{name}-{turn}", step.join(root, "label").select("id", F.col("root").alias("label"), (F.col("root") != F.col("old")).alias("moved")))
+        scratch.drop(f"{name}-{turn - 1}")
+        labels = moved.select("id", "label")
+        if not moved.where("moved").take(1):
+            return labels
+
+
+def merged(scratch: Scratch, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """The labels after more links: components of the old labels that these join."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    every = labels.union(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("label")))
+    every = scratch.keep(f"{name}-every", every)
+    a, b = every.toDF("a", "la"), every.toDF("b", "lb")
+    joins = links.join(a, "a").join(b, "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    roots = connected(scratch, joins, name).toDF("label", "root")
+    return scratch.keep(f"{name}-merged", every.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label")))
 
 
 def parity(shingle: Column, word: int) -> Column:
@@ -79,23 +88,24 @@ def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items:
     members = scratch.keep("members", members.select("bucket", "id").distinct().join(items, "id"))
     data = [c for c in members.columns if c not in ("bucket", "id")]
     own = members.groupBy("id").agg(F.min("bucket").alias("bucket"))
-    labels = links = tried = None
+    labels = tried = None
     turn = 0
     while True:
         turn += 1
         if turn == 1:
-            live = members.join(scratch.keep("first", own), ["id", "bucket"], "left_semi").withColumn("label", F.col("id"))
+            live = members.join(own, ["id", "bucket"], "left_semi").withColumn("label", F.col("id"))
         else:
-            known = scratch.keep(f"known{turn}", members.join(labels, "id", "left").select("bucket", "id", *data, F.coalesce("label", "id").alias("label")))
-            open_ = scratch.keep(f"open{turn}", known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket"))
-            live = scratch.keep(f"live{turn}", known.join(open_, "bucket", "left_semi"))
-            scratch.drop(f"known{turn}", f"members{turn - 1}")
+            known = members.join(labels, "id", "left").select("bucket", "id", *data, F.coalesce("label", "id").alias("label"))
+            open_ = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
+            live = known.join(open_, "bucket", "left_semi")
+        live = scratch.keep(f"live{turn}", live)
+        if turn > 1:
+            scratch.drop(f"members{turn - 1}")
         # each slot of a bucket has one centre: the largest id of its largest label
-        slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 if turn < 3 else min(CENTRES, 4 ** (turn - 2)))).cast("int")
-        best = scratch.keep(f"best{turn}", live.groupBy("bucket", slot.alias("slot")).agg(F.max("label").alias("top")))
-        mine = live.withColumn("slot", slot).join(best, ["bucket", "slot"]).where("label = top")
-        ids = scratch.keep(f"ids{turn}", mine.groupBy("bucket", "slot").agg(F.max("id").alias("id")))
-        centres = scratch.keep(f"centres{turn}", live.join(ids.select("bucket", "id"), ["bucket", "id"]))
+        slots = (1, 8, CENTRES)[min(turn, 3) - 1]
+        slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(slots)).cast("int")
+        best = live.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("label", "id")).alias("top")).select("bucket", F.col("top.id").alias("id"))
+        centres = scratch.keep(f"centres{turn}", live.join(best, ["bucket", "id"]))
         held = F.col("x.bucket") == F.col("y.bucket")
         apart = F.col("x.id") != F.col("y.id") if turn == 1 else F.col("x.label") != F.col("y.label")
         star = live.alias("x").join(centres.alias("y"), held & apart & may_link(similarity, "x", "y"))
@@ -105,10 +115,12 @@ def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.keep(f"pairs{turn}", pairs)
         tried = pairs if tried is None else tried.union(pairs)
-        new = scratch.keep(f"links{turn}", verify(pairs).select("a", "b"))
-        if links is None or new.take(1):
-            links = new if links is None else links.union(new)
-            labels = connected(scratch, links, f"labels{turn}")
+        if turn == 1 or pairs.take(1):
+            links = scratch.keep(f"links{turn}", verify(pairs).select("a", "b"))
+            if turn == 1:
+                labels = connected(scratch, links, "labels1")
+            elif links.take(1):
+                labels = merged(scratch, labels, links, f"labels{turn}")
         if turn > 1:
             gone = centres.select("bucket", "id")
             members = scratch.keep(f"members{turn}", live.select("bucket", "id", *data).join(gone, ["bucket", "id"], "left_anti"))
