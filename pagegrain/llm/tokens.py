@@ -9,6 +9,8 @@ encoded whole.
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
 from itertools import chain
 
@@ -18,8 +20,14 @@ import regex
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 CACHE_PIECES = 600_000
 
-#: Fixed value: the public pattern of byte-level BPE pre-tokenizers.
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Unicode's white space, and the public pattern of byte-level BPE pre-tokenizers
+#: with letters first, which no other branch can begin with.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PIECES = rf" ?\p{{L}}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: The same for texts in ASCII, which the standard library splits faster.
+ASCII_PIECES = r" ?[A-Za-z]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+#: New pieces that are encoded in one text.
+JOINED = 4096
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -40,6 +48,7 @@ class Encoder:
         if "ByteLevel(add_prefix_space=False" not in repr(kind) or self.library.normalizer is not None:
             raise ValueError(f"{name} is not a byte-level BPE without normalizer")
         self.split = regex.compile(PIECES).findall
+        self.split_ascii = re.compile(ASCII_PIECES).findall
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -50,11 +59,37 @@ class Encoder:
         known = self.known
         if len(known) > CACHE_PIECES:
             known.clear()
-        pieces = [[] if not t or self._special(t) else self.split(t) for t in texts]
-        new = list(set(chain.from_iterable(pieces)).difference(known))
-        for piece, ids in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = np.array(ids.ids, "<u4").tobytes()
-        return [self.whole(t) if t and not p else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, pieces, strict=True)]
+        # the collector would walk through all known pieces again and again
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            pieces = [[] if not t or self._special(t) else self.split_ascii(t) if t.isascii() else self.split(t) for t in texts]
+            distinct = set(chain.from_iterable(pieces))
+            self._learn(distinct.difference(known))
+            here = {p: known[p] for p in distinct}.__getitem__
+            return [self.whole(t) if t and not p else b"".join(map(here, p)) for t, p in zip(texts, pieces, strict=True)]
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _learn(self, new: set[str]) -> None:
+        """Words after a space stay pieces of their own when joined, so many are encoded at once."""
+        words = [p for p in new if len(p) > 1 and p[0] == " " and p[1:].isalpha()]
+        rest = [p for p in new if not (len(p) > 1 and p[0] == " " and p[1:].isalpha())]
+        for i in range(0, len(words), JOINED):
+            some = words[i : i + JOINED]
+            got = self.library.encode("".join(some), add_special_tokens=False)
+            counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(some))
+            if len(counts) != len(some):
+                rest += some
+                continue
+            ids = np.array(got.ids, "<u4").tobytes()
+            at = 0
+            for piece, n in zip(some, counts.tolist(), strict=True):
+                self.known[piece] = ids[at : at + 4 * n]
+                at += 4 * n
+        for piece, got in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[piece] = np.array(got.ids, "<u4").tobytes()
 
     def _special(self, text: str) -> bool:
         return any(a in text for a in self.added)
