@@ -1,11 +1,334 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver tables, each beside its DuckDB SQL."""
 
-FLAGSHIP = ""
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import geometry as geo
+from ..functions import text as txt
+from ..operators import events as ev
+from ..operators import layout
+from ..sources.tables import BOXES, EVENTS, REGIONS, boxes, job_events, regions, table
 
-def oracle_sql():
-    return {}
+FLAGSHIP = "q_merge_primary"
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+#: SQL of two boxes' intersection, a and b.
+INTER = "greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"
+AREA_A, AREA_B = "((a.x1 - a.x0) * (a.y1 - a.y0))", "((b.x1 - b.x0) * (b.y1 - b.y0))"
+MEET = "a.page = b.page AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1"
+CENTRED = "(b.x0 + b.x1 BETWEEN 2 * a.x0 AND 2 * a.x1 AND b.y0 + b.y1 BETWEEN 2 * a.y0 AND 2 * a.y1)"
+
+
+def query(name: str, sql: str | None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        _queries[name] = f
+        if sql is not None:
+            _sql[name] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+# joins of boxes (JOIN, GEO17-19)
+
+
+@query("q_merge_primary", f"""WITH {BOXES}, kept AS (SELECT * FROM boxes WHERE provider = 'A' UNION ALL SELECT * FROM boxes b WHERE provider <> 'A' AND NOT EXISTS (
+  SELECT 1 FROM boxes a WHERE a.provider = 'A' AND {MEET} AND ({INTER} / greatest(1, {AREA_A} + {AREA_B} - {INTER}) >= 0.45 OR {INTER} / least({AREA_A}, {AREA_B}) >= 0.85)))
+  SELECT page, pos, x0, y0, x1, y1, row_number() OVER (PARTITION BY page ORDER BY y0 + y1, x0, pos) AS rank FROM kept""")
+def _merge(s, d):
+    return layout.reading_order(layout.merge_primary(boxes(s, d), F.col("provider") == "A")).select(*layout.BOX, "rank")
+
+
+@query("q_box_pairs", f"""WITH {BOXES}, p AS (SELECT a.page, a.pos AS a, b.pos AS b, {INTER} AS inter, {INTER} / greatest(1, {AREA_A} + {AREA_B} - {INTER}) AS iou, {INTER} / least({AREA_A}, {AREA_B}) AS cover FROM boxes a JOIN boxes b ON {MEET} AND a.pos < b.pos)
+  SELECT page, count(*) AS pairs, CAST(sum(inter) AS BIGINT) AS inter, max(iou) AS iou, max(cover) AS cover FROM p GROUP BY page""")
+def _pairs(s, d):
+    return layout.pairs(boxes(s, d)).groupBy("page").agg(F.count("*").alias("pairs"), F.sum("inter").alias("inter"), F.max("iou").alias("iou"), F.max("cover").alias("cover"))
+
+
+@query("q_box_overlap_stats", f"""WITH {BOXES}, {REGIONS} SELECT a.page, a.region, count(b.pos) AS overlapping, CAST(coalesce(sum(CASE WHEN b.pos IS NOT NULL AND {CENTRED} THEN 1 ELSE 0 END), 0) AS BIGINT) AS centred,
+  CAST(least(sum(CASE WHEN b.pos IS NULL THEN 0 ELSE {INTER} END), {AREA_A}) AS BIGINT) AS covered FROM regions a LEFT JOIN boxes b ON {MEET} GROUP BY a.page, a.region, {AREA_A}""")
+def _region_stats(s, d):
+    return layout.region_stats(regions(s, d), boxes(s, d))
+
+
+@query("q_suppress", f"""WITH {BOXES}, {REGIONS} SELECT page, pos, x0, y0, x1, y1 FROM boxes b WHERE NOT EXISTS (SELECT 1 FROM regions a WHERE {MEET} AND ({INTER} / {AREA_B} >= 0.86 OR ({CENTRED} AND {INTER} / {AREA_B} >= 0.5)))""")
+def _suppress(s, d):
+    return layout.suppressed(boxes(s, d), regions(s, d)).select(*layout.BOX)
+
+
+@query("q_exists_fragment", f"""WITH {BOXES}, {REGIONS} SELECT page, region, x0, y0, x1, y1 FROM regions a WHERE EXISTS (SELECT 1 FROM boxes b WHERE {MEET} AND {INTER} / least({AREA_A}, {AREA_B}) >= 0.5)""")
+def _exists(s, d):
+    return layout.explained(regions(s, d), boxes(s, d))
+
+
+@query("q_best_match", f"""WITH {BOXES}, {REGIONS}, p AS (SELECT a.page, a.region, b.pos, {INTER} / greatest(1, {AREA_A} + {AREA_B} - {INTER}) AS score FROM regions a JOIN boxes b ON {MEET})
+  SELECT page, region, pos, score FROM (SELECT *, row_number() OVER (PARTITION BY page, region ORDER BY score DESC, pos) AS k FROM p) WHERE k = 1 AND score >= 0.02""")
+def _best(s, d):
+    return layout.best_match(regions(s, d), boxes(s, d))
+
+
+@query("q_grid_cells", f"""WITH {BOXES}, {REGIONS}, n AS (SELECT a.page, a.region, least(3 * (b.y0 + b.y1 - 2 * a.y0) // (2 * (a.y1 - a.y0)), 2) AS r, least(4 * (b.x0 + b.x1 - 2 * a.x0) // (2 * (a.x1 - a.x0)), 3) AS c, count(*) AS n FROM regions a JOIN boxes b ON a.page = b.page AND {CENTRED} GROUP BY ALL)
+  SELECT a.page, a.region, g.r, h.c, coalesce(n.n, 0) AS n FROM regions a CROSS JOIN (SELECT unnest([0, 1, 2])::BIGINT AS r) g CROSS JOIN (SELECT unnest([0, 1, 2, 3])::BIGINT AS c) h LEFT JOIN n ON a.page = n.page AND a.region = n.region AND g.r = n.r AND h.c = n.c""")
+def _grid(s, d):
+    return layout.grid_cells(regions(s, d), boxes(s, d), 3, 4)
+
+
+@query("q_page_sizes", f"""WITH {BOXES}, {REGIONS}, sizes AS (SELECT page, max(x1) AS width, max(y1) AS height FROM regions WHERE page % 3 <> 0 GROUP BY page)
+  SELECT b.page, count(*) AS n, CAST(coalesce(max(s.width), 960) AS BIGINT) AS width, CAST(coalesce(max(s.height), 540) AS BIGINT) AS height FROM boxes b LEFT JOIN sizes s ON b.page + 1 = s.page WHERE b.page >= 1 GROUP BY b.page""")
+def _page_sizes(s, d):
+    sizes = regions(s, d).where("page % 3 <> 0").groupBy("page").agg(F.max("x1").alias("width"), F.max("y1").alias("height"))
+    shifted = sizes.select((F.col("page") - 1).alias("page"), "width", "height")
+    joined = boxes(s, d).where("page >= 1").groupBy("page").agg(F.count("*").alias("n")).join(shifted, "page", "left")
+    return joined.select("page", "n", F.coalesce("width", F.lit(960)).cast("long").alias("width"), F.coalesce("height", F.lit(540)).cast("long").alias("height"))
+
+
+@query("q_page_diff", f"""WITH {BOXES}, l AS (SELECT page, CAST(sum(x0) AS BIGINT) AS before FROM boxes WHERE page % 7 <> 0 AND provider = 'A' GROUP BY page), r AS (SELECT page, CAST(sum(CASE WHEN page % 5 = 0 THEN x0 + 1 ELSE x0 END) AS BIGINT) AS after FROM boxes WHERE page % 11 <> 0 AND provider = 'A' GROUP BY page)
+  SELECT coalesce(l.page, r.page) AS page, before, after FROM l FULL JOIN r ON l.page = r.page WHERE before IS DISTINCT FROM after""")
+def _diff(s, d):
+    own = boxes(s, d).where("provider = 'A'")
+    left = own.where("page % 7 <> 0").groupBy("page").agg(F.sum("x0"))
+    right = own.where("page % 11 <> 0").groupBy("page").agg(F.sum(F.when(F.col("page") % 5 == 0, F.col("x0") + 1).otherwise(F.col("x0"))))
+    return layout.page_diff(left, right)
+
+
+# geometry projections (GEO)
+
+
+@query("q_coerce", f"WITH {BOXES} SELECT page, pos, CASE WHEN pos % 9 <> 0 THEN CAST(least(x1, x0) AS DOUBLE) END AS x0, CASE WHEN pos % 9 <> 0 THEN CAST(greatest(y1, y0) AS DOUBLE) END AS y1 FROM boxes")
+def _coerce(s, d):
+    bad = F.when(F.col("pos") % 9 != 0, F.col("x1").cast("double")).when(F.col("pos") % 2 == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+    return boxes(s, d).select("page", "pos", geo.coerce(bad, F.col("y1"), F.col("x0"), F.col("y0")).alias("b")).select("page", "pos", "b.x0", "b.y1")
+
+
+@query("q_pixels", f"WITH {BOXES} SELECT page, pos, least(greatest(CAST(round_even(x0 * (1500.0::DOUBLE / 960.0::DOUBLE), 0) AS BIGINT), 0), 1499) AS px0, least(greatest(CAST(round_even(x1 * (1500.0::DOUBLE / 960.0::DOUBLE), 0) AS BIGINT), 0), 1500) AS px1 FROM boxes")
+def _pixels(s, d):
+    return boxes(s, d).select("page", "pos", geo.to_pixels(F.col("x0"), 960.0, 1500, 1499).alias("px0"), geo.to_pixels(F.col("x1"), 960.0, 1500, 1500).alias("px1"))
+
+
+@query("q_emu", f"WITH {BOXES} SELECT page, pos, CAST(round_even(x0 * 9525.5::DOUBLE + 100.25::DOUBLE, 0) AS BIGINT) AS left_emu, greatest(0, CAST(round_even((x1 - x0) * 9525.5::DOUBLE, 0) AS BIGINT)) AS width_emu FROM boxes")
+def _emu(s, d):
+    return boxes(s, d).select("page", "pos", geo.to_emu(F.col("x0"), 9525.5, 100.25).alias("left_emu"), F.greatest(F.lit(0), geo.to_emu(F.col("x1") - F.col("x0"), 9525.5, 0.0)).cast("long").alias("width_emu"))
+
+
+@query("q_slide_type", """WITH r AS (SELECT o_orderkey AS id, (20 + o_custkey % 50)::DOUBLE / (10 + o_orderkey % 40)::DOUBLE AS ratio FROM orders)
+  SELECT id, CASE WHEN least(abs(ratio - 4.0 / 3.0), abs(ratio - 1.6), abs(ratio - 16.0 / 9.0)) > 0.08 THEN 'custom' WHEN abs(ratio - 4.0 / 3.0) <= abs(ratio - 1.6) THEN '4:3' WHEN abs(ratio - 1.6) <= abs(ratio - 16.0 / 9.0) THEN '16:10' ELSE '16:9' END AS kind FROM r""")
+def _slide(s, d):
+    ratio = (20 + F.col("o_custkey") % 50).cast("double") / (10 + F.col("o_orderkey") % 40).cast("double")
+    away = [F.abs(ratio - F.lit(v)) for v in (4.0 / 3.0, 1.6, 16.0 / 9.0)]
+    kind = F.when(F.least(*away) > 0.08, "custom").when(away[0] <= away[1], "4:3").when(away[1] <= away[2], "16:10").otherwise("16:9")
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), kind.alias("kind"))
+
+
+@query("q_near_full_page", f"WITH {BOXES}, e AS (SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM boxes GROUP BY page) SELECT page, (x1 - x0) * (y1 - y0) >= 0.88 * 1000 * 720 AND x0 <= 15 AND y0 <= 10.8 AND x1 >= 985 AND y1 >= 709.2 AS full_page FROM e")
+def _full(s, d):
+    e = layout.envelope(boxes(s, d), "page")
+    return e.select("page", ((geo.area() >= 0.88 * 1000 * 720) & (F.col("x0") <= 15) & (F.col("y0") <= 10.8) & (F.col("x1") >= 985) & (F.col("y1") >= 709.2)).alias("full_page"))
+
+
+@query("q_suppress_box", f"WITH {REGIONS} SELECT region, greatest(0, x0 - least(greatest(0.02 * (x1 - x0), 0.8), 3.5))::DOUBLE AS x0, least(720, y1 + least(greatest(0.03 * (y1 - y0), 0.8), 3.0))::DOUBLE AS y1 FROM regions")
+def _suppress_box(s, d):
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return regions(s, d).select("region", F.greatest(F.lit(0.0), F.col("x0") - geo.clamp(w * 0.02, 0.8, 3.5)).alias("x0"), F.least(F.lit(720.0), F.col("y1") + geo.clamp(h * 0.03, 0.8, 3.0)).alias("y1"))
+
+
+@query("q_colour", "SELECT o_orderkey AS id, '#' || lpad(lower(to_hex((o_orderkey * 7919) & 16777215)), 6, '0') AS colour, 2126 * (((o_orderkey * 7919) >> 16) & 255) + 7152 * (((o_orderkey * 7919) >> 8) & 255) + 722 * ((o_orderkey * 7919) & 255) AS luma FROM orders")
+def _colour(s, d):
+    number = F.col("o_orderkey") * 7919
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), geo.hex_colour(number).alias("colour"), geo.luma(number).cast("long").alias("luma"))
+
+
+# filters over pages (FLT, SORT, SET, WIN)
+
+
+@query("q_multi_column", f"""WITH {BOXES}, p AS (SELECT *, x0 + x1 < 0.9 * 1000 AS l, x0 + x1 > 1.1 * 1000 AS r FROM boxes),
+  g AS (SELECT page, count(*) AS n, CAST(sum(l::INT) AS BIGINT) AS "left", CAST(sum(r::INT) AS BIGINT) AS "right", least(max(y1) FILTER (l), max(y1) FILTER (r)) - greatest(min(y0) FILTER (l), min(y0) FILTER (r)) AS o FROM p GROUP BY page) SELECT page, n, "left", "right" FROM g WHERE n >= 8 AND "left" >= 3 AND "right" >= 3 AND o > 70""")
+def _columns(s, d):
+    return layout.multi_column(boxes(s, d), 1000)
+
+
+@query("q_layout_order", f"WITH {BOXES} SELECT page, pos, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN confidence % 3 <> 0 THEN confidence END NULLS LAST, y0, x0, pos) AS rank FROM boxes")
+def _layout_order(s, d):
+    given = F.when(F.col("confidence") % 3 != 0, F.col("confidence"))
+    return layout.layout_order(boxes(s, d).withColumn("given", given), "given").select("page", "pos", "rank")
+
+
+@query("q_first_regions", f"WITH {REGIONS} SELECT page, region FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY region) AS k FROM regions WHERE x1 - x0 >= 24 AND y0 % 5 <> 0) WHERE k <= 12")
+def _first_regions(s, d):
+    valid = regions(s, d).where("x1 - x0 >= 24 and y0 % 5 <> 0")
+    numbered = valid.selectExpr("page", "region", "row_number() over (partition by page order by region) as k")
+    return numbered.where("k <= 12").select("page", "region")
+
+
+@query("q_exact_dedup", f"WITH {BOXES} SELECT page, pos, confidence, provider FROM (SELECT *, row_number() OVER (PARTITION BY page, confidence, provider ORDER BY pos) AS k FROM boxes) WHERE k = 1")
+def _exact(s, d):
+    return layout.first_of(boxes(s, d), "page", "confidence", "provider").select("page", "pos", "confidence", "provider")
+
+
+@query("q_x_segments", f"""WITH {BOXES}, f AS (SELECT *, y0 // 40 AS "row", CASE WHEN x0 - lag(x1) OVER (PARTITION BY page, y0 // 40 ORDER BY x0, pos) > 30 THEN 1 ELSE 0 END AS fresh FROM boxes),
+  g AS (SELECT *, sum(fresh) OVER (PARTITION BY page, "row" ORDER BY x0, pos ROWS UNBOUNDED PRECEDING) AS segment FROM f) SELECT page, "row", CAST(segment AS BIGINT) AS segment, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM g GROUP BY page, "row", segment""")
+def _segments(s, d):
+    rows = boxes(s, d).withColumn("row", F.expr("y0 div 40"))
+    return layout.envelope(layout.x_segments(rows, 30), "page", "row", "segment")
+
+
+@query("q_greedy_dedup", None)
+def _greedy(s, d):
+    return layout.greedy_dedup(boxes(s, d))
+
+
+# aggregates (AGG)
+
+
+@query("q_upper_median", f"WITH {BOXES} SELECT page, h AS median FROM (SELECT page, y1 - y0 AS h, row_number() OVER (PARTITION BY page ORDER BY y1 - y0, pos) AS k, count(*) OVER (PARTITION BY page) AS n FROM boxes) WHERE k = n // 2 + 1")
+def _upper(s, d):
+    return layout.ordered_value(["page"], "h", layout.upper_median(), "median", boxes(s, d).withColumn("h", F.col("y1") - F.col("y0")))
+
+
+@query("q_nearest_rank", f"WITH {BOXES} SELECT page, h AS p90 FROM (SELECT page, y1 - y0 AS h, row_number() OVER (PARTITION BY page ORDER BY y1 - y0, pos) AS k, count(*) OVER (PARTITION BY page) AS n FROM boxes) WHERE k = CAST(round_even((n - 1) * 0.9::DOUBLE, 0) AS BIGINT) + 1")
+def _rank(s, d):
+    return layout.ordered_value(["page"], "h", layout.nearest_rank(0.9), "p90", boxes(s, d).withColumn("h", F.col("y1") - F.col("y0")))
+
+
+@query("q_weighted_quantile", f"""WITH {BOXES}, s AS (SELECT page, pos, x1 - x0 AS w, y1 - y0 AS h, count(*) OVER (PARTITION BY page) AS n, row_number() OVER (PARTITION BY page ORDER BY x1 - x0 DESC, y1 - y0, pos) AS k FROM boxes),
+  t AS (SELECT page, h, pos, least(1000, w) * least(1000, w) AS weight FROM s WHERE n <= 24 OR k <= greatest(12, round_even(n * 0.25::DOUBLE, 0))),
+  u AS (SELECT page, h, sum(weight) OVER (PARTITION BY page ORDER BY h, pos ROWS UNBOUNDED PRECEDING) AS upto, sum(weight) OVER (PARTITION BY page) AS total FROM t)
+  SELECT page, least(greatest(min(h), 6), 48) AS size FROM u WHERE upto >= 0.6::DOUBLE * total GROUP BY page""")
+def _weighted(s, d):
+    return layout.weighted_quantile(boxes(s, d), 1000)
+
+
+@query("q_union_box", f"WITH {BOXES} SELECT page, provider, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM boxes GROUP BY page, provider")
+def _union(s, d):
+    return layout.envelope(boxes(s, d), "page", "provider")
+
+
+@query("q_provider_summary", f"WITH {BOXES} SELECT page, count(*) AS n, count(*) FILTER (confidence < 3) AS weak, count(DISTINCT provider) AS providers FROM boxes GROUP BY page")
+def _summary(s, d):
+    return boxes(s, d).groupBy("page").agg(F.count("*").alias("n"), F.count(F.when(F.col("confidence") < 3, 1)).alias("weak"), F.count_distinct("provider").alias("providers"))
+
+
+# texts (STR, FLT)
+
+
+@query("q_token_estimate", "SELECT doc_id, greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) AS tokens, length(regexp_replace(text, '\\s', '', 'g')) AS compact FROM documents")
+def _estimate(s, d):
+    return table(s, d, "documents").select("doc_id", txt.token_estimate(F.col("text")).alias("tokens"), txt.compact_length(F.col("text")).cast("long").alias("compact"))
+
+
+@query("q_labels", "SELECT event_id, regexp_replace(lower(trim(' ' || event_type || ' - X_ ')), '[\\s_-]+', '_', 'g') AS label, trim(regexp_replace('Bearer  ' || event_type, '^bearer\\s+', '', 'i')) AS token FROM events")
+def _labels(s, d):
+    return table(s, d, "events").select("event_id", txt.label(F.concat(F.lit(" "), "event_type", F.lit(" - X_ "))).alias("label"), txt.bearer(F.concat(F.lit("Bearer  "), "event_type")).alias("token"))
+
+
+@query("q_markdown", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT doc_id, trim(replace(replace(regexp_replace(regexp_replace(regexp_replace(line, '^\\s{0,3}#{1,6}\\s+', ''), '^\\s*[-*+]\\s+', ''), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '`', ''), '**', ''), ' ') AS line FROM l)
+  SELECT doc_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM c WHERE line <> '' GROUP BY doc_id""")
+def _markdown(s, d):
+    lines = table(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    cleaned = lines.select("doc_id", txt.markdown_line(F.col("line")).alias("line")).where("line <> ''")
+    return cleaned.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
+@query("q_cjk", "SELECT id, t, regexp_matches(t, '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{3040}-\\x{30FF}\\x{AC00}-\\x{D7AF}]') AS cjk FROM (VALUES (1, 'abc'), (2, '中文'), (3, 'カナ x'), (4, '한글'), (5, 'é'), (6, NULL)) v(id, t)")
+def _cjk(s, d):
+    rows = s.createDataFrame([(1, "abc"), (2, "中文"), (3, "カナ x"), (4, "한글"), (5, "é"), (6, None)], "id int, t string")
+    return rows.select("id", "t", txt.has_cjk(F.col("t")).alias("cjk"))
+
+
+@query("q_conversation_join", "SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || length(text), chr(10) ORDER BY turn) AS outline FROM conversations GROUP BY conv_id")
+def _conversations(s, d):
+    turns = table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.length("text").alias("n")))).alias("t"))
+    line = F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["n"].cast("string")))
+    return turns.select("conv_id", F.size("t").cast("long").alias("turns"), F.array_join(line, "\n").alias("outline"))
+
+
+@query("q_char_classes", "SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters, length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits, length(regexp_replace(text, '[^.,;:!?]', '', 'g')) AS marks FROM documents")
+def _classes(s, d):
+    return table(s, d, "documents").select("doc_id", *(F.length(F.regexp_replace("text", p, "")).cast("long").alias(n) for n, p in (("letters", "[^A-Za-z]"), ("digits", "[^0-9]"), ("marks", "[^.,;:!?]"))))
+
+
+@query("q_hosts", "SELECT page_id, regexp_extract(lower(url), '^[a-z]+://([^/:]+)', 1) AS host, regexp_matches(lower(url), '^[a-z]+://(localhost|127\\.|10\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)') AS private FROM pages")
+def _hosts(s, d):
+    url = F.lower("url")
+    private = F.regexp_like(url, F.lit(r"^[a-z]+://(localhost|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"))
+    return table(s, d, "pages").select("page_id", F.regexp_extract(url, r"^[a-z]+://([^/:]+)", 1).alias("host"), private.alias("private"))
+
+
+# job events (WIN21-23, STRM, AGG18-19, SORT05, JOIN13-14)
+
+
+@query("q_changes", f"WITH {EVENTS} SELECT job, event_id, status FROM (SELECT *, lag(status) OVER w AS before, lag(event_id) OVER w AS one FROM ev WINDOW w AS (PARTITION BY job ORDER BY ts, event_id)) WHERE one IS NULL OR status IS DISTINCT FROM before")
+def _changes(s, d):
+    return ev.changes(job_events(s, d), "status").select("job", "event_id", "status")
+
+
+@query("q_event_log", f"WITH {EVENTS} SELECT job, event_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts, event_id) AS seq, row_number() OVER (PARTITION BY job ORDER BY ts DESC, event_id DESC) AS back FROM ev) WHERE back <= 20")
+def _log(s, d):
+    return ev.numbered(job_events(s, d), 20).select("job", "event_id", "seq")
+
+
+@query("q_latest", f"WITH {EVENTS} SELECT job, event_id, status, progress FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts DESC, event_id DESC) AS k FROM ev) WHERE k = 1")
+def _latest(s, d):
+    return ev.latest(job_events(s, d)).select("job", "event_id", "status", "progress")
+
+
+@query("q_progress", f"WITH {EVENTS} SELECT job, event_id, max(least(progress, 99)) OVER (PARTITION BY job ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS shown FROM ev")
+def _progress(s, d):
+    return ev.monotone_progress(job_events(s, d)).select("job", "event_id", "shown")
+
+
+@query("q_until_terminal", f"WITH {EVENTS} SELECT job, event_id FROM (SELECT *, coalesce(max((status = 'purchase')::INT) OVER (PARTITION BY job ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM ev) WHERE seen = 0")
+def _terminal(s, d):
+    return ev.until_terminal(job_events(s, d), "purchase").select("job", "event_id")
+
+
+@query("q_rate", f"WITH {EVENTS} SELECT job, event_id, recent, recent <= 2 AS admitted FROM (SELECT *, count(*) OVER (PARTITION BY job ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent FROM ev)")
+def _rate(s, d):
+    return ev.rate(job_events(s, d), 86_400, 2).select("job", "event_id", "recent", "admitted")
+
+
+@query("q_breaker", f"""WITH {EVENTS}, g AS (SELECT *, sum((status <> 'click')::INT) OVER (PARTITION BY job ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS grp FROM ev)
+  SELECT job, event_id, CAST(sum((status = 'click')::INT) OVER w AS BIGINT) AS run, sum((status = 'click')::INT) OVER w >= 2 AS open FROM g WINDOW w AS (PARTITION BY job, grp ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def _breaker(s, d):
+    return ev.breaker(job_events(s, d), "click", 2).select("job", "event_id", "run", "open")
+
+
+@query("q_status_counts", f"WITH {EVENTS} SELECT status, count(*) AS n, count(DISTINCT job) AS jobs, CAST(sum(progress) AS BIGINT) AS progress FROM ev GROUP BY status")
+def _status(s, d):
+    return job_events(s, d).groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("job").alias("jobs"), F.sum("progress").alias("progress"))
+
+
+@query("q_newest_jobs", f"WITH {EVENTS} SELECT job, max(epoch_us(ts)) AS newest FROM ev GROUP BY job ORDER BY newest DESC, job LIMIT 50")
+def _newest(s, d):
+    return job_events(s, d).groupBy("job").agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("newest")).orderBy(F.desc("newest"), "job").limit(50)
+
+
+@query("q_expired", f"""WITH {EVENTS}, j AS (SELECT job, max(ts) AS last, bool_or(status = 'purchase') AS terminal FROM ev GROUP BY job), dirs AS (SELECT DISTINCT c_custkey AS dir FROM customer), n AS (SELECT max(ts) AS now FROM ev)
+  SELECT dir FROM dirs LEFT JOIN j ON dir = job CROSS JOIN n WHERE job IS NULL OR (terminal AND last + INTERVAL 1 DAY <= now)""")
+def _expired(s, d):
+    events = job_events(s, d)
+    jobs = events.groupBy("job").agg(F.max("ts").alias("last"), F.max(F.col("status") == "purchase").alias("terminal"))
+    now = events.agg(F.max("ts").alias("now")).first()["now"]
+    dirs = table(s, d, "customer").select(F.col("c_custkey").alias("dir")).distinct()
+    old = F.col("terminal") & (F.col("last") + F.expr("interval 1 day") <= F.lit(now).cast("timestamp_ntz"))
+    return dirs.join(jobs, F.col("dir") == F.col("job"), "left").where(F.col("job").isNull() | old).select("dir")
+
+
+@query("q_json_props", None)
+def _json(s, d):
+    events = table(s, d, "events")
+    if "props" not in events.columns:
+        return events.select("event_id")
+    return events.select("event_id", F.expr("try_variant_get(try_parse_json(props), '$', 'map<string,string>')").alias("props"))
