@@ -20,12 +20,14 @@ from pyspark.sql.types import LongType
 
 from .bytetext import chunks, lists
 from .ordering import offsets
-from .scratch import Scratch
+from .scratch import Scratch, arrow_rows
 from .tokens import DEFAULT_TOKENIZER, crc, encoder
 
 END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
+#: Rows of ids that one Arrow batch takes back.
+READ_ROWS = 500
 COLUMNS = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>"
 
 
@@ -89,4 +91,7 @@ def token_output(documents: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> Da
     """
     scratch = Scratch(documents.sparkSession, "tokens")
     write_tokens(documents, scratch.path("ids"), tokenizer)
-    return read_tokens(scratch, scratch.path("ids")).select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), ids_crc32("ids").alias("ids_crc32"))
+    back = read_tokens(scratch, scratch.path("ids"))
+    digest = back.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), ids_crc32("ids").alias("ids_crc32"))
+    with arrow_rows(documents.sparkSession, READ_ROWS):
+        return scratch.keep("digest", digest)
