@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("job").orderBy("ts", "event_id")
+def in_time() -> WindowSpec:
+    return Window.partitionBy("job").orderBy("ts", "event_id")
 
 
 def changes(events: DataFrame, *columns: str) -> DataFrame:
     """Events that differ from the one before in one of the columns; the first of a job always."""
-    same = F.lag("event_id").over(ORDER).isNotNull()
+    same = F.lag("event_id").over(in_time()).isNotNull()
     for c in columns:
-        same = same & F.col(c).eqNullSafe(F.lag(c).over(ORDER))
+        same = same & F.col(c).eqNullSafe(F.lag(c).over(in_time()))
     return events.withColumn("_same", same).where(~F.col("_same")).drop("_same")
 
 
 def numbered(events: DataFrame, last: int) -> DataFrame:
     """``seq`` from 1, and only the last so many of each job."""
     back = Window.partitionBy("job").orderBy(F.desc("ts"), F.desc("event_id"))
-    out = events.withColumns({"seq": F.row_number().over(ORDER).cast("long"), "_back": F.row_number().over(back)})
+    out = events.withColumns({"seq": F.row_number().over(in_time()).cast("long"), "_back": F.row_number().over(back)})
     return out.where(F.col("_back") <= last).drop("_back")
 
 
@@ -31,13 +32,13 @@ def latest(events: DataFrame) -> DataFrame:
 
 def monotone_progress(events: DataFrame, top: int = 99) -> DataFrame:
     """``shown``: the largest progress so far, at most ``top``."""
-    upto = ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = in_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return events.withColumn("shown", F.max(F.least("progress", F.lit(top))).over(upto))
 
 
 def until_terminal(events: DataFrame, terminal: str) -> DataFrame:
     """Events up to and with the first of the terminal status."""
-    before = ORDER.rowsBetween(Window.unboundedPreceding, -1)
+    before = in_time().rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.max((F.col("status") == terminal).cast("int")).over(before), F.lit(0))
     return events.withColumn("_seen", seen).where("_seen = 0").drop("_seen")
 
@@ -52,7 +53,7 @@ def rate(events: DataFrame, seconds: int, limit: int) -> DataFrame:
 
 def breaker(events: DataFrame, failing: str, after: int) -> DataFrame:
     """``run``: consecutive failing events that end here, and whether the breaker is open."""
-    upto = ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = in_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = events.withColumn("_group", F.sum((F.col("status") != failing).cast("long")).over(upto))
     within = Window.partitionBy("job", "_group").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return out.withColumn("run", F.sum((F.col("status") == failing).cast("long")).over(within)).withColumn("open", F.col("run") >= after).drop("_group")
