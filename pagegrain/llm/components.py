@@ -16,6 +16,8 @@ from .scratch import Scratch
 
 #: Most centres of a bucket in one round.
 CENTRES = 256
+#: First rounds that hold an item against centres of its first bucket alone.
+NARROW = 2
 #: 64-bit parity words of a set: each member flips the bit that the top ten bits of its hash name.
 WORDS = 16
 
@@ -77,8 +79,9 @@ def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items:
 
     ``first`` has pairs a < b to verify at once, ``members`` the buckets (bucket, id)
     of any size within which every pair may link, ``items`` the size n and the parity
-    words g0, g1, ... of each id of a bucket. In the first round each item is held
-    against one centre of its first bucket, which joins most of a large group. Two
+    words g0, g1, ... of each id of a bucket. The first rounds hold each item
+    against one centre and then four of its first bucket, which joins most of a large
+    group. Two
     components of a bucket are left apart only after all pairs between them have been
     held against each other: each further round takes centres from a bucket, those of
     the largest labels first, compares each with the members of other components, and
@@ -95,14 +98,15 @@ def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items:
         if turn == 1:
             live = members.join(own, ["id", "bucket"], "left_semi").withColumn("label", F.col("id"))
         else:
-            known = members.join(labels, "id", "left").select("bucket", "id", *data, F.coalesce("label", "id").alias("label"))
+            base = members.join(own, ["id", "bucket"], "left_semi") if turn <= NARROW else members
+            known = base.join(labels, "id", "left").select("bucket", "id", *data, F.coalesce("label", "id").alias("label"))
             open_ = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
             live = known.join(open_, "bucket", "left_semi")
         live = scratch.keep(f"live{turn}", live)
-        if turn > 1:
+        if turn > NARROW + 1:
             scratch.drop(f"members{turn - 1}")
         # each slot of a bucket has one centre: the largest id of its largest label
-        slots = (1, 8, CENTRES)[min(turn, 3) - 1]
+        slots = (1, 4, 8, CENTRES)[min(turn, 4) - 1]
         slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(slots)).cast("int")
         best = live.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("label", "id")).alias("top")).select("bucket", F.col("top.id").alias("id"))
         centres = scratch.keep(f"centres{turn}", live.join(best, ["bucket", "id"]))
@@ -121,7 +125,7 @@ def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items:
                 labels = connected(scratch, links, "labels1")
             elif links.take(1):
                 labels = merged(scratch, labels, links, f"labels{turn}")
-        if turn > 1:
+        if turn > NARROW:
             gone = centres.select("bucket", "id")
             members = scratch.keep(f"members{turn}", live.select("bucket", "id", *data).join(gone, ["bucket", "id"], "left_anti"))
             scratch.drop(f"live{turn}")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import Text, as_long, chunks, lists, mix, shingles
 from .components import WORDS as PARITY
-from .components import link_buckets
+from .components import link_buckets, may_link
 from .scratch import Scratch
 
 WORDS = 5
@@ -197,7 +197,9 @@ def ngram_join(documents: DataFrame) -> DataFrame:
         both = sized.withColumn("both", F.size(F.array_intersect("sa", "sb")))
         return both.where(100 * F.col("both") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("both")))
 
-    labels = link_buckets(scratch, pairs.union(more).distinct(), buckets, items, SIMILARITY, verify)
+    x, y = items.alias("x"), items.alias("y")
+    close = pairs.union(more).distinct().join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(may_link(SIMILARITY, "x", "y"))
+    labels = link_buckets(scratch, close.select("a", "b"), buckets, items, SIMILARITY, verify)
     node = scratch.keep("nodes", classes.join(labels, "id", "left").select("n", "set1", "set2", "doc_id", F.coalesce("label", "id").alias("label")))
     lowest = scratch.keep("lowest", node.groupBy("label").agg(F.min("doc_id").alias("component_id")))
     joined = scratch.keep("joined", node.join(lowest, "label").select("n", "set1", "set2", F.col("doc_id").alias("class_id"), "component_id"))
