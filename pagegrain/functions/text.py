@@ -55,3 +55,103 @@ def markdown_line(line: Column) -> Column:
     out = F.regexp_replace(out, r"\[([^\]]*)\]\([^)]*\)", "$1")
     out = F.regexp_replace(out, "`", "")
     return F.trim(F.regexp_replace(out, r"\*\*", ""))
+
+
+#: Labels and openings of recognition prompts that models echo.
+ECHO_LABELS = ("text", "image", "figure", "icon", "diagram", "chart", "logo", "subtitle", "sub_title", "equation", "formula", "table", "title", "caption", "footnote", "header", "footer")
+ECHO_OPENINGS = (
+    "ocr task",
+    "image size",
+    "return line-level ocr",
+    "return line level ocr",
+    "preferred format",
+    "json array is also accepted",
+    "each item must be one visual text line",
+    "coordinates are pixel values",
+    "stop immediately after json closes",
+)
+
+
+def squeezed(text: Column) -> Column:
+    """Runs of white space as one blank, none at the ends; null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+
+
+def prompt_echo(text: Column) -> Column:
+    """Whether the text is a generic label, a region number or the opening of a prompt."""
+    t = F.lower(squeezed(text))
+    opening = F.lit(False)
+    for words in ECHO_OPENINGS:
+        opening = opening | F.startswith(t, F.lit(words))
+    return t.isin(*ECHO_LABELS) | F.regexp_like(t, F.lit(r"^region[_\s-]?[0-9]{1,4}$")) | opening | (F.contains(t, F.lit("return line-level ocr")) & F.contains(t, F.lit("bbox")))
+
+
+def gibberish(text: Column) -> Column:
+    """Whether 64 or more characters are nearly all JSON delimiters, or repeat closing runs."""
+    packed = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", "")
+    n = F.length(packed)
+    delimiters = F.regexp_count(packed, F.lit(r"[{}\[\],:]"))
+    letters = F.regexp_count(packed, F.lit(r"[\p{L}\p{N}]"))
+    runs = F.regexp_count(packed, F.lit(r"\}\}\]\}")) + F.regexp_count(packed, F.lit(r"\}\]\}\]"))
+    return (n >= 64) & (((delimiters >= 0.88 * n) & (letters <= 0.06 * n)) | ((runs > 0) & (runs >= F.greatest(F.lit(6), F.floor(n / 80)))))
+
+
+def short_token(text: Column) -> Column:
+    """Whether a text is a label-like token and no body text: very short, bracketed, or a few letters or digits."""
+    raw = F.coalesce(clean(text), F.lit(""))
+    n = compact_length(raw)
+    cjk = F.regexp_count(raw, F.lit(r"[\x{4E00}-\x{9FFF}]"))
+    marks = F.regexp_count(raw, F.lit(r"[^\p{L}\p{N}\s]"))
+    latin = (F.regexp_count(raw, F.lit(r"\p{L}")) >= 2) & (marks <= 2)
+    figures = F.regexp_count(raw, F.lit(r"\p{Nd}")) >= 2
+    return (n > 0) & ((n <= 3) | ((n <= 12) & F.regexp_like(raw, F.lit("[()/]"))) | ((n <= 6) & (cjk == 0) & (latin | figures)))
+
+
+def needs_space(before: Column, after: Column) -> Column:
+    """Whether two tokens of one line are joined with a blank: no CJK in either, letters or digits where they meet."""
+    ends = F.regexp_like(before, F.lit(r"[\p{L}\p{N}]$")) & F.regexp_like(after, F.lit(r"^[\p{L}\p{N}]"))
+    return F.coalesce(ends & ~has_cjk(before) & ~has_cjk(after), F.lit(False))
+
+
+def render_lines(text: Column) -> Column:
+    """Lines trimmed and blank ones gone, with any line end read as a line feed."""
+    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\n")
+    trimmed = F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.array_join(F.filter(trimmed, lambda x: x != ""), "\n")
+
+
+def heading_lines(text: Column) -> Column:
+    """A one-line heading cut behind its first colon, wide or narrow, when its left part has brackets
+    and its right part brackets, a joining sign, or Latin letters stand on either side."""
+    line = render_lines(text)
+    out = line
+    for colon in (":", "："):  # the wide one is tried first, so it stands outermost
+        at = F.instr(line, colon)
+        left, right = F.trim(F.substring(line, F.lit(1), at)), F.trim(F.substring(line, at + 1, F.length(line)))
+
+        def bracketed(part: Column) -> Column:
+            return (F.contains(part, F.lit("(")) & F.contains(part, F.lit(")"))) | (F.contains(part, F.lit("（")) & F.contains(part, F.lit("）")))
+
+        tail = bracketed(right) | F.regexp_like(right, F.lit("[/&+、]")) | F.regexp_like(F.concat(left, right), F.lit("[A-Za-z]"))
+        fits = (at >= 3) & (at < F.length(line) - 1) & (compact_length(right) >= 2) & bracketed(left) & tail
+        out = F.when(fits, F.concat(left, F.lit("\n"), right)).otherwise(out)
+    return F.when(F.contains(line, F.lit("\n")), line).otherwise(out)
+
+
+def sentences(text: Column) -> Column:
+    """Sentences of a text, each with its closing mark."""
+    parts = F.split(squeezed(text), r"(?<=[。！？!?；;])")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def flag(text: Column) -> Column:
+    """True or false from the words and numbers that style payloads use, else null."""
+    t = F.lower(clean(text))
+    heavy = F.when(F.regexp_like(t, F.lit("^[0-9]{1,9}$")), t.cast("int") >= 600)
+    return F.when(t.isin("true", "1", "yes", "y", "on", "bold", "semibold"), True).when(t.isin("false", "0", "no", "n", "off", "normal", "regular"), False).otherwise(heavy)
+
+
+def retry_delay(attempt: Column, status: Column) -> Column:
+    """Seconds before the next attempt: doubled from 0.75 up to 8, and 2 at least when the limit was hit."""
+    base = F.least(F.lit(8.0), F.pow(F.lit(2.0), F.greatest(F.lit(0), attempt)) * 0.75)
+    return F.greatest(F.when(status == 429, 2.0).otherwise(0.25), base)

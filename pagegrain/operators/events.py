@@ -57,3 +57,19 @@ def breaker(events: DataFrame, failing: str, after: int) -> DataFrame:
     out = events.withColumn("_group", F.sum((F.col("status") != failing).cast("long")).over(upto))
     within = Window.partitionBy("job", "_group").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return out.withColumn("run", F.sum((F.col("status") == failing).cast("long")).over(within)).withColumn("open", F.col("run") >= after).drop("_group")
+
+
+def alive(events: DataFrame, seconds: int) -> DataFrame:
+    """Spans in which a job's events keep it alive: each extends its life by so many seconds."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    timed = events.withColumn("_at", at)
+    late = F.col("_at") - F.lag("_at").over(in_time()) >= seconds * 1_000_000
+    upto = in_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = timed.withColumn("_late", F.coalesce(late, F.lit(False)).cast("long")).withColumn("span", F.sum("_late").over(upto))
+    return spans.groupBy("job", "span").agg(F.count("*").alias("n"), F.min("_at").alias("first"), (F.max("_at") + seconds * 1_000_000).alias("expires"))
+
+
+def before_deadline(events: DataFrame, cost: str, total: int) -> DataFrame:
+    """Events that begin before the job's summed cost reaches the total."""
+    before = in_time().rowsBetween(Window.unboundedPreceding, -1)
+    return events.withColumn("spent", F.coalesce(F.sum(cost).over(before), F.lit(0))).where(F.col("spent") < total)

@@ -31,6 +31,15 @@ def merge_primary(boxes: DataFrame, primary: Column, iou: float = 0.45, cover: f
     return first.unionByName(rest.alias("s").join(first.alias("p"), match, "left_anti"))
 
 
+def merge_in_turn(boxes: DataFrame, source: str, ranking: Sequence[str]) -> DataFrame:
+    """Sources in order of preference: of each next one only the boxes that match nothing kept before."""
+    kept = boxes.where(F.col(source) == ranking[0]).withColumn("_kept", F.lit(True))
+    for name in ranking[1:]:
+        rest = boxes.where(F.col(source) == name).withColumn("_kept", F.lit(False))
+        kept = merge_primary(kept.unionByName(rest), F.col("_kept")).withColumn("_kept", F.lit(True))
+    return kept.drop("_kept")
+
+
 def pairs(boxes: DataFrame) -> DataFrame:
     """Overlapping pairs of a page, with intersection, iou and cover."""
     found = boxes.alias("a").join(boxes.alias("b"), (F.col("a.page") == F.col("b.page")) & (F.col("a.pos") < F.col("b.pos")) & geo.meets("a", "b"))

@@ -12,10 +12,10 @@ from ..functions import text as txt
 from ..operators import events as ev
 from ..operators import layout
 from ..sources.tables import BOXES, EVENTS, REGIONS, boxes, job_events, regions, table
+from . import catalog, pages, texts  # noqa: F401  (pages and texts register their queries)
+from .catalog import query
 
 FLAGSHIP = "q_merge_primary"
-_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_sql: dict[str, str] = {}
 
 #: SQL of two boxes' intersection, a and b.
 INTER = "greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"
@@ -24,22 +24,12 @@ MEET = "a.page = b.page AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0
 CENTRED = "(b.x0 + b.x1 BETWEEN 2 * a.x0 AND 2 * a.x1 AND b.y0 + b.y1 BETWEEN 2 * a.y0 AND 2 * a.y1)"
 
 
-def query(name: str, sql: str | None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        _queries[name] = f
-        if sql is not None:
-            _sql[name] = sql
-        return f
-
-    return register
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries)
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return dict(catalog.SQL)
 
 
 # joins of boxes (JOIN, GEO17-19)
@@ -326,9 +316,8 @@ def _expired(s, d):
     return dirs.join(jobs, F.col("dir") == F.col("job"), "left").where(F.col("job").isNull() | old).select("dir")
 
 
-@query("q_json_props", None)
+@query("q_json_props", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, starts_with(props, '{') AS holds FROM events""")
 def _json(s, d):
-    events = table(s, d, "events")
-    if "props" not in events.columns:
-        return events.select("event_id")
-    return events.select("event_id", F.expr("try_variant_get(try_parse_json(props), '$', 'map<string,string>')").alias("props"))
+    props = F.col("props")
+    value = F.try_variant_get(F.try_parse_json(props), "$.k", "bigint")
+    return table(s, d, "events").select("event_id", value.alias("k"), F.startswith(props, F.lit("{")).alias("holds"))
