@@ -159,7 +159,8 @@ def ngram_join(documents: DataFrame) -> DataFrame:
     rows = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("row_doc")) & (F.col("text_hash") == F.col("row_text")))
     # rows that repeat a doc_id and a text come more than once
     sets = rows.select("id", "text").mapInArrow(_whole, "id long, s array<long>, " + ", ".join(f"g{w} long" for w in range(PARITY)))
-    sets = scratch.keep("sets", sets.dropDuplicates(["id"]))
+    # every round of linking joins the sets by id
+    sets = scratch.keep_bucketed("sets", sets.dropDuplicates(["id"]), "id")
     scratch.release()
 
     bound = int(as_long(np.array([LOW]))[0])

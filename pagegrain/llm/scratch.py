@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
         atexit.register(self._close)
 
     def path(self, name: str) -> str:
@@ -59,6 +61,14 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def keep_bucketed(self, name: str, df: DataFrame, column: str) -> DataFrame:
+        """A kept table in buckets of a column, as many as shuffle partitions: joins on it leave its rows in place."""
+        table = f"pagegrain_{os.path.basename(self.root).replace('-', '_')}_{name}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.mode("overwrite").format("parquet").bucketBy(buckets, column).option("path", self.path(name)).saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         for name in names:
             delete(self.spark, self.path(name))
@@ -70,6 +80,8 @@ class Scratch:
 
     def _close(self) -> None:
         try:
+            for table in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
             delete(self.spark, self.root)
         except Exception:  # the JVM is gone at interpreter exit
             pass
