@@ -35,6 +35,8 @@ SIMILARITY = 80
 #: Groups that post a shingle before it counts as frequent.
 MANY = 16
 CELLS = 64 * PARITY
+#: Rows of three longs that are broadcast at most (some 80 MB) to pick texts in place; more are joined by a shuffle of the texts.
+BROADCAST_ROWS = 1_000_000
 #: The part of the hash space that is posted first: a quarter.
 LOW = np.uint64(1 << 62)
 
@@ -156,7 +158,8 @@ def ngram_join(documents: DataFrame) -> DataFrame:
     needed = member.select("id", "leader").join(ends, "leader", "left_semi").select("id").union(wide.select("id")).union(large.select("id")).distinct()
     needed = scratch.keep("needed", needed)
     wanted = scratch.keep("wanted", classes.join(needed, "id", "left_semi").select("id", "row_doc", "row_text"))
-    rows = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("row_doc")) & (F.col("text_hash") == F.col("row_text")))
+    picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    rows = texts.join(picked, F.col("doc_id").eqNullSafe(F.col("row_doc")) & (F.col("text_hash") == F.col("row_text")))
     # rows that repeat a doc_id and a text come more than once
     sets = rows.select("id", "text").mapInArrow(_whole, "id long, s array<long>, " + ", ".join(f"g{w} long" for w in range(PARITY)))
     # every round of linking joins the sets by id
