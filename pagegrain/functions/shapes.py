@@ -66,6 +66,97 @@ def parse_box(text: Column) -> Column:
     return _once(_once(F.try_parse_json(text), read), choose)
 
 
+#: Keys below which a vendor's item may have its box, in order of trial.
+VENDOR_KEYS = ("bbox", "box", "rect", "rectangle", "polygon", "poly", "points", "location", "coordinates", "coordinate")
+
+
+def _points(text: Column) -> Column:
+    """A number, or a text that is one, with or without the unit pt."""
+    return F.trim(F.replace(F.lower(F.trim(text)), F.lit("pt"), F.lit(""))).try_cast("double")
+
+
+def _present(values: Column) -> Column:
+    return (F.size(values) > 0) & F.forall(values, lambda v: v.isNotNull())
+
+
+def _number(value: Column, *keys: str) -> Column:
+    """The first key's number that is not 0, else the last key's."""
+    found = [_points(F.try_variant_get(value, f"$.{k}", "string")) for k in keys]
+    return F.coalesce(*(F.nullif(v, F.lit(0.0)) for v in found), found[-1])
+
+
+def _vendor_list(value: Column) -> Column:
+    """Four numbers (place and size if the latter two are not beyond the former), 8 or more in turn, pairs or points."""
+    flat = F.transform(F.try_variant_get(value, "$", "array<string>"), _points)
+    nested = F.try_variant_get(value, "$", "array<array<string>>")
+    objects = F.try_variant_get(value, "$", "array<variant>")
+    sized = (flat[2] <= flat[0]) | (flat[3] <= flat[1])
+    four = F.when(sized, box(flat[0], flat[1], flat[0] + flat[2], flat[1] + flat[3])).otherwise(box(flat[0], flat[1], flat[2], flat[3]))
+    pairs = F.transform(nested, lambda p: _points(F.get(p, F.lit(0)))), F.transform(nested, lambda p: _points(F.get(p, F.lit(1))))
+    points = F.transform(objects, lambda p: _number(p, "x", "left")), F.transform(objects, lambda p: _number(p, "y", "top"))
+    return F.coalesce(
+        F.when((F.size(flat) == 4) & _present(flat), four),
+        F.when((F.size(flat) >= 8) & _present(flat), _around(_every_second(flat, 0), _every_second(flat, 1))),
+        *(F.when(_present(xs) & _present(ys), _around(xs, ys)) for xs, ys in (pairs, points)),
+    )
+
+
+def _vendor_position(value: Column) -> Column:
+    """Place and size if the size is above 0, else read as any list."""
+    flat = F.transform(F.try_variant_get(value, "$", "array<string>"), _points)
+    x, y, w, h = (_number(value, *k) for k in (("left", "x"), ("top", "y"), ("width", "w"), ("height", "h")))
+    as_object = F.when(x.isNotNull() & y.isNotNull() & (w > 0) & (h > 0), box(x, y, x + w, y + h))
+    as_list = F.when((F.size(flat) == 4) & _present(flat) & (flat[2] > 0) & (flat[3] > 0), box(flat[0], flat[1], flat[0] + flat[2], flat[1] + flat[3]))
+    outline = F.coalesce(F.try_variant_get(value, "$.polygon", "variant"), F.try_variant_get(value, "$.points", "variant"))
+    return F.coalesce(as_list, as_object, _vendor_list(value), _vendor_list(outline))
+
+
+def vendor_box(text: Column) -> Column:
+    """A box from a vendor's item as JSON text, or null.
+
+    A list is read by its form. Of an object its ``position`` counts first, as place and
+    size, then the lists below VENDOR_KEYS in turn, then its own sides. Numbers may be
+    texts with the unit pt. A side of 0 counts only below the last of its key's names,
+    so an item with ``left`` 0 and no other name for it has no box.
+    """
+
+    def read(value: Column) -> Column:
+        below = F.array(*(F.try_variant_get(value, f"$.{k}", "variant") for k in VENDOR_KEYS))
+        found = F.filter(F.transform(below, _vendor_list), lambda b: b.isNotNull())
+        x, y = _number(value, "left", "x0", "x"), _number(value, "top", "y0", "y")
+        right, bottom = _number(value, "right", "x1"), _number(value, "bottom", "y1")
+        w, h = _number(value, "width", "w"), _number(value, "height", "h")
+        placed = x.isNotNull() & y.isNotNull()
+        sides = F.when(placed & right.isNotNull() & bottom.isNotNull(), box(x, y, right, bottom)).when(placed & w.isNotNull() & h.isNotNull(), box(x, y, x + w, y + h))
+        as_object = F.coalesce(_vendor_position(F.try_variant_get(value, "$.position", "variant")), F.get(found, F.lit(0)), sides)
+        return F.when(F.ltrim(text).startswith("["), _vendor_list(value)).when(F.ltrim(text).startswith("{"), as_object)
+
+    return _once(F.try_parse_json(text), read)
+
+
+def content_box(text: Column) -> Column:
+    """A box from a content item as JSON text: four numbers below ``bbox`` as they stand, null if one is none,
+    else the envelope of 8 or more numbers below ``poly``."""
+
+    def read(value: Column) -> Column:
+        four, outline = (F.transform(F.try_variant_get(value, k, "array<string>"), lambda v: v.try_cast("double")) for k in ("$.bbox", "$.poly"))
+        around = F.when((F.size(outline) >= 8) & _present(outline), _around(_every_second(outline, 0), _every_second(outline, 1)))
+        return F.when(F.size(four) == 4, F.when(_present(four), box(four[0], four[1], four[2], four[3]))).otherwise(around)
+
+    return _once(F.try_parse_json(text), read)
+
+
+def item_confidence(text: Column, default: float = 0.7) -> Column:
+    """0 to 1 from a recognised item as JSON text: the first of four keys that is not null, percents as shares."""
+
+    def read(value: Column) -> Column:
+        raw = F.coalesce(*(F.try_variant_get(value, f"$.{k}", "string") for k in ("confidence", "c", "score", "prob")))
+        share = F.coalesce(raw.try_cast("double"), F.lit(default))
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when((share > 1.0) & (share <= 100.0), share / 100.0).otherwise(share)))
+
+    return _once(F.try_parse_json(text), read)
+
+
 def _clip(left: Column, top: Column, right: Column, bottom: Column, width: Column, height: Column) -> Column:
     def into(v: Column, high: Column) -> Column:
         return F.greatest(F.lit(0.0), F.least(high.cast("double"), v))

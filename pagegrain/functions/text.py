@@ -155,3 +155,33 @@ def retry_delay(attempt: Column, status: Column) -> Column:
     """Seconds before the next attempt: doubled from 0.75 up to 8, and 2 at least when the limit was hit."""
     base = F.least(F.lit(8.0), F.pow(F.lit(2.0), F.greatest(F.lit(0), attempt)) * 0.75)
     return F.greatest(F.when(status == 429, 2.0).otherwise(0.25), base)
+
+
+def short_text(text: Column, limit: int = 160) -> Column:
+    """Squeezed to one line and cut to ``limit`` characters, dots included."""
+    line = squeezed(text)
+    return F.when(F.length(line) <= limit, line).otherwise(F.concat(F.left(line, F.lit(max(0, limit - 3))), F.lit("...")))
+
+
+def wrap_tokens(text: Column) -> Column:
+    """Tokens that a line break may part: words and the blanks between them; where CJK stands or no blank does,
+    runs of ASCII word characters, single other characters, and one blank for a run of white space."""
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    spaced = F.flatten(F.transform(words, lambda w, i: F.when(i > 0, F.array(F.lit(" "), w)).otherwise(F.array(w))))
+    runs = F.regexp_extract_all(text, F.lit(r"(\s+|[A-Za-z0-9_\-./:+#%&@]+|\S)"), F.lit(1))
+    mixed = F.transform(runs, lambda r: F.when(F.regexp_like(r, F.lit(r"^\s")), " ").otherwise(r))
+    return F.when(~has_cjk(text) & F.contains(text, F.lit(" ")), spaced).otherwise(mixed)
+
+
+def message_text(content: Column) -> Column:
+    """The text of a message from its content as JSON text: a string, or a list of strings and of objects with
+    a string below ``text`` or else ``content``; these trimmed, one to a line. Null is empty."""
+
+    def string(value: Column) -> Column:
+        return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+    value = F.try_parse_json(content)
+    parts = F.try_variant_get(value, "$", "array<variant>")
+    below = ("$.text", "$.content")
+    texts = F.transform(parts, lambda p: clean(F.coalesce(string(p), *(string(F.try_variant_get(p, k, "variant")) for k in below))))
+    return F.coalesce(string(value), F.array_join(F.filter(texts, lambda t: t.isNotNull()), "\n"), F.lit(""))
