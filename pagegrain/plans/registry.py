@@ -12,7 +12,7 @@ from ..functions import text as txt
 from ..operators import events as ev
 from ..operators import layout
 from ..sources.tables import BOXES, EVENTS, REGIONS, boxes, job_events, regions, table
-from . import catalog, pages, payloads, texts  # noqa: F401  (the last three register their queries)
+from . import catalog, pages, payloads, recognised, texts  # noqa: F401  (all but catalog register their queries)
 from .catalog import query
 
 FLAGSHIP = "q_merge_primary"

@@ -61,3 +61,14 @@ def test_streams(spark, tmp_path):
     run.awaitTermination()
     got = spark.table("counts").groupBy().sum("n").first()[0]
     assert got == table(spark, DIR, "events").count()
+
+
+def test_distinct_boxes(spark):
+    pages = {}
+    for b in sorted(boxes(spark, DIR).collect(), key=lambda b: b.pos):
+        kept = pages.setdefault(b.page, [])
+        if all(max(abs(b[n] - k[n]) for n in ("x0", "y0", "x1", "y1")) > 40 for k in kept):
+            kept.append(b)
+    got = {(r.page, r.pos) for r in registry.queries()["q_distinct_boxes"](spark, DIR).collect()}
+    assert got == {(b.page, b.pos) for kept in pages.values() for b in kept}
+    assert len(got) < boxes(spark, DIR).count()
