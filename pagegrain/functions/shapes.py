@@ -146,6 +146,33 @@ def content_box(text: Column) -> Column:
     return _once(F.try_parse_json(text), read)
 
 
+def page_size(text: Column) -> Column:
+    """Width and height above 0 of a page from its entry as JSON text: ``page_size``, the sides at the top, or those below ``meta``; else null."""
+
+    def read(value: Column) -> Column:
+        pair = F.transform(F.try_variant_get(value, "$.page_size", "array<string>"), _points)
+        meta = F.try_variant_get(value, "$.meta", "variant")
+        found = (
+            (F.get(pair, F.lit(0)), F.get(pair, F.lit(1))),
+            (_number(value, "page_width", "page_w"), _number(value, "page_height", "page_h")),
+            (_number(meta, "page_width", "page_w", "width"), _number(meta, "page_height", "page_h", "height")),
+        )
+        return F.coalesce(*(F.when((w > 0) & (h > 0), F.struct(w.alias("width"), h.alias("height"))) for w, h in found))
+
+    return _once(F.try_parse_json(text), read)
+
+
+def crop_rect(b: Column, crop: Column, dpi: int, pad_x: float = 0.0, pad_y: float = 0.0) -> Column:
+    """A box in points, padded and rounded to pixels (halves to even), within a crop (x0, y0, width, height in pixels of the page); null outside of it."""
+
+    def pixel(points: Column, origin: Column, high: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(high, F.bround(points * float(dpi) / 72.0).cast("long") - origin)).cast("long")
+
+    x0, y0 = pixel(b["x0"] - pad_x, crop["x0"], crop["width"] - 1), pixel(b["y0"] - pad_y, crop["y0"], crop["height"] - 1)
+    x1, y1 = pixel(b["x1"] + pad_x, crop["x0"], crop["width"]), pixel(b["y1"] + pad_y, crop["y0"], crop["height"])
+    return F.when((x1 > x0) & (y1 > y0), F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")))
+
+
 def item_confidence(text: Column, default: float = 0.7) -> Column:
     """0 to 1 from a recognised item as JSON text: the first of four keys that is not null, percents as shares."""
 

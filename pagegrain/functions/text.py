@@ -185,3 +185,33 @@ def message_text(content: Column) -> Column:
     below = ("$.text", "$.content")
     texts = F.transform(parts, lambda p: clean(F.coalesce(string(p), *(string(F.try_variant_get(p, k, "variant")) for k in below))))
     return F.coalesce(string(value), F.array_join(F.filter(texts, lambda t: t.isNotNull()), "\n"), F.lit(""))
+
+
+def filled(template: Column, values: dict[str, Column]) -> Column:
+    """A template with its known ``{{ name }}`` filled in and trimmed; unknown names stay, null values are empty.
+
+    A template is cut at its names first, so a value that looks like one is not filled in again.
+    """
+    parts = F.regexp_extract_all(template, F.lit(r"(\{\{\s*[a-zA-Z0-9_]+\s*\}\}|(?s:.+?)(?=\{\{\s*[a-zA-Z0-9_]+\s*\}\}|\z))"), F.lit(1))
+
+    def fill(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^\{\{\s*([a-zA-Z0-9_]+)\s*\}\}$", 1)
+        out = part
+        for key, value in values.items():
+            out = F.when(name == key, F.coalesce(value, F.lit(""))).otherwise(out)
+        return out
+
+    return F.regexp_replace(F.array_join(F.transform(parts, fill), ""), r"^\s+|\s+$", "")
+
+
+#: The XML entities, the ampersand last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def without_tags(text: Column) -> Column:
+    """Without ``<|name|>`` tags, which may be escaped up to twice, and squeezed; of entities those of XML are known."""
+    out = F.coalesce(text, F.lit(""))
+    for _ in range(2):
+        for entity, sign in ENTITIES:
+            out = F.replace(out, F.lit(entity), F.lit(sign))
+    return squeezed(F.regexp_replace(out, r"<\|/?[a-zA-Z0-9_]+\|>", ""))

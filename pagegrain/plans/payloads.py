@@ -87,6 +87,40 @@ def _content(s, d):
     return _shown(boxes(s, d).select("page", "pos", shapes.content_box(_formed(forms)).alias("b")))
 
 
+@query("q_page_entry", f"WITH {BOXES}, v AS (SELECT page, pos, CASE WHEN pos % 5 = 4 OR (pos % 5 > 0 AND x0 = 0) THEN NULL ELSE x1 END AS w, y1 AS h FROM boxes) SELECT page, pos, w::DOUBLE AS width, CASE WHEN w IS NOT NULL THEN h END::DOUBLE AS height FROM v")
+def _page_entry(s, d):
+    forms = (
+        "'{\"page_size\": [\"%dpt\", %d], \"page_w\": 1, \"page_h\": 2}', x1, y1",
+        "'{\"page_size\": [%4$d], \"page_width\": %1$d, \"page_height\": %2$d}', if(x0 = 0, 0, x1), y1, x0, y0",
+        "'{\"page_w\": %d, \"page_h\": %d}', if(x0 = 0, -1, x1), y1",
+        "'{\"page_width\": 0, \"meta\": {\"width\": %d, \"page_h\": %d}}', if(x0 = 0, 0, x1), y1",
+        "'[%d, %d]', x1, y1",
+    )
+    out = boxes(s, d).select("page", "pos", shapes.page_size(_formed(forms)).alias("b"))
+    return out.select("page", "pos", "b.width", "b.height")
+
+
+@query("q_crop_rect", f"""WITH {BOXES}, c AS (SELECT page, pos, least(greatest(CAST(round_even((x0 - 1.75::DOUBLE) * 150.0::DOUBLE / 72.0::DOUBLE, 0) AS BIGINT) - 300, 0), 799) AS x0, least(greatest(CAST(round_even((y0 - 0.5::DOUBLE) * 150.0::DOUBLE / 72.0::DOUBLE, 0) AS BIGINT) - 200, 0), 499) AS y0,
+    least(greatest(CAST(round_even((x1 + 1.75::DOUBLE) * 150.0::DOUBLE / 72.0::DOUBLE, 0) AS BIGINT) - 300, 0), 800) AS x1, least(greatest(CAST(round_even((y1 + 0.5::DOUBLE) * 150.0::DOUBLE / 72.0::DOUBLE, 0) AS BIGINT) - 200, 0), 500) AS y1 FROM boxes)
+  SELECT page, pos, CASE WHEN x1 > x0 AND y1 > y0 THEN x0 END AS x0, CASE WHEN x1 > x0 AND y1 > y0 THEN y0 END AS y0, CASE WHEN x1 > x0 AND y1 > y0 THEN x1 END AS x1, CASE WHEN x1 > x0 AND y1 > y0 THEN y1 END AS y1 FROM c""")
+def _crop(s, d):
+    crop = F.struct(*(F.lit(v).alias(n) for n, v in (("x0", 300), ("y0", 200), ("width", 800), ("height", 500))))
+    return _shown(boxes(s, d).select("page", "pos", shapes.crop_rect(F.struct("x0", "y0", "x1", "y1"), crop, 150, 1.75, 0.5).alias("b")))
+
+
+@query("q_filled", r"SELECT conv_id, turn, regexp_replace('You are ' || role || ': ' || coalesce(text, '') || ' {{ other }} {{role', '^\s+|\s+$', '', 'g') AS prompt FROM conversations")
+def _filled(s, d):
+    prompt = txt.filled(F.lit("  You are {{role}}: {{ text }} {{ other }} {{role "), {"role": F.col("role"), "text": F.col("text")})
+    return table(s, d, "conversations").select("conv_id", "turn", prompt.alias("prompt"))
+
+
+@query("q_without_tags", r"SELECT conv_id, turn, trim(regexp_replace('a & ' || replace(replace(replace(coalesce(text, ''), '<', '('), '>', ')'), '&', '+') || ' <x>', '\s+', ' ', 'g')) AS plain FROM conversations")
+def _without_tags(s, d):
+    safe = F.translate(F.coalesce("text", F.lit("")), "<>&", "()+")
+    raw = F.concat(F.lit("&lt;|ref|&gt; a &amp;amp; <|/ref|>"), safe, F.lit(" &amp;lt;|det|&amp;gt;&lt;x>"))
+    return table(s, d, "conversations").select("conv_id", "turn", txt.without_tags(raw).alias("plain"))
+
+
 @query("q_item_confidence", f"""WITH {EVENTS}, v AS (SELECT event_id, CASE WHEN event_id % 5 < 3 THEN (progress * 7 - 30)::DOUBLE ELSE 0.7::DOUBLE END AS v FROM ev)
   SELECT event_id, greatest(0::DOUBLE, least(1::DOUBLE, CASE WHEN v > 1 AND v <= 100 THEN v / 100 ELSE v END)) AS confidence FROM v""")
 def _confidence(s, d):
