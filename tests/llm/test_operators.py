@@ -62,9 +62,10 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
 
 
-@pytest.mark.parametrize("many", [1, 4, 16])
-def test_ngram_join(spark, docs, none, monkeypatch, many):
+@pytest.mark.parametrize(("many", "broadcast"), [(1, 1_000_000), (4, 0), (16, 1_000_000)])
+def test_ngram_join(spark, docs, none, monkeypatch, many, broadcast):
     monkeypatch.setattr(ngram_join, "MANY", many)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", broadcast)
     sets = [shingles(r[1]) for r in ROWS]
     parent = list(range(len(ROWS)))
 
