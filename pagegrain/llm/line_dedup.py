@@ -1,8 +1,7 @@
 """Fuzzy line dedup, in DataFrame operations alone.
 
-A line is the set of its character shingles. Signatures are MinHashes over the
-shingles whose hash falls in a fixed half of the hash space, seeded by XOR; lines
-that share a band of the signature are candidates, verified by the Jaccard
+A line is the set of its character shingles. Signatures are MinHashes over all of
+them, each shingle hashed again for every seed; lines that share a band of the signature are candidates, verified by the Jaccard
 similarity of their whole shingle sets. Verified links are joined by a distributed
 union-find, and of each component the first line in order of document stays.
 """
@@ -23,10 +22,9 @@ MIN_CHARS = 16
 #: 100 times the similarity from which two lines are the same.
 SIMILARITY = 80
 BANDS, ROWS = 10, 4
-SAMPLED_BITS = 1
 
 _random = random.Random(8)
-SEEDS = [_random.getrandbits(62) for _ in range(BANDS * ROWS)]
+SEEDS = [_random.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
 
 
 def _units(line: Column | str) -> Column:
@@ -55,8 +53,8 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 def _bands(lines: DataFrame) -> DataFrame:
     """key and the hashes of its signature's bands. Equal lines meet in one row."""
-    sampled = _exploded(lines).where(F.col("h").bitwiseAND((1 << SAMPLED_BITS) - 1) == 0)
-    signed = sampled.groupBy("key").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{i}") for i, s in enumerate(SEEDS)])
+    minima = [F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(s)))).alias(f"m{i}") for i, s in enumerate(SEEDS)]
+    signed = _exploded(lines).groupBy("key").agg(*minima)
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + i}" for i in range(ROWS)]) for b in range(BANDS)]
     return signed.select("key", F.array(*bands).alias("bands"))
 
