@@ -45,3 +45,8 @@ def recall(spark):
 
 def test_recall_at_the_threshold(recall):
     assert set(recall) == set(LENGTHS) and min(recall.values()) >= 0.98
+
+
+def test_bands_lose_next_to_nothing(recall):
+    assert (1 - (line_dedup.SIMILARITY / 100) ** line_dedup.ROWS) ** line_dedup.BANDS < 0.0005
+    assert min(recall.values()) >= 0.998
