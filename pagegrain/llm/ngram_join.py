@@ -126,8 +126,12 @@ def ngram_join(documents: DataFrame) -> DataFrame:
     no other. A document without words (null, empty or blank text) has an empty set,
     links with nothing and is its own component. Other columns are not read.
     """
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "ngrams")
+    joined = _joined(documents, Scratch(documents.sparkSession, "ngrams"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
+
+
+def _joined(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, text_hash, n, label (of the component, null without words), component_id and class_id of every row."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     signed = texts.mapInArrow(_signed, "doc_id long, text_hash long, n long, set1 long, set2 long, low_hash long, low array<long>")
     signed = scratch.keep("signed", signed.withColumn("row", F.monotonically_increasing_id()))
@@ -206,19 +210,43 @@ def ngram_join(documents: DataFrame) -> DataFrame:
     labels = link_buckets(scratch, close.select("a", "b"), buckets, items, SIMILARITY, verify)
     node = scratch.keep("nodes", classes.join(labels, "id", "left").select("n", "set1", "set2", "doc_id", F.coalesce("label", "id").alias("label")))
     lowest = scratch.keep("lowest", node.groupBy("label").agg(F.min("doc_id").alias("component_id")))
-    joined = scratch.keep("joined", node.join(lowest, "label").select("n", "set1", "set2", F.col("doc_id").alias("class_id"), "component_id"))
-    rows = signed.select("doc_id", "n", "set1", "set2")
+    joined = scratch.keep("joined", node.join(lowest, "label").select("n", "set1", "set2", F.col("doc_id").alias("class_id"), "component_id", "label"))
+    rows = signed.select("doc_id", "text_hash", "n", "set1", "set2")
     linked = rows.where("n > 0").join(joined, ["n", "set1", "set2"])
-    empty = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
-    return linked.select("doc_id", "n", "component_id", "class_id").unionByName(empty).withColumnRenamed("n", "n_shingles")
+    empty = rows.where("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    return linked.select("doc_id", "text_hash", "n", "label", "component_id", "class_id").unionByName(empty)
+
+
+def _rows_of(documents: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The documents that have (left_semi) or have not (left_anti) one of these doc_id, text_hash."""
+    named = rows.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"))
+    return documents.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_text")), how)
 
 
 def representatives(documents: DataFrame) -> DataFrame:
     """The documents, all columns as they were, without those whose component has a smaller doc_id.
 
-    Documents without words and with null doc_id stay. Repeated rows of a doc_id
-    that stays all stay.
+    A row is told by its doc_id and text. Documents without words and with null doc_id
+    stay. Repeated rows of a doc_id that stays all stay.
+    """
+    joined = _joined(documents, Scratch(documents.sparkSession, "ngrams"))
+    return _rows_of(documents, joined.where("component_id < doc_id").select("doc_id", "text_hash").distinct(), "left_anti")
+
+
+def singles(documents: DataFrame) -> DataFrame:
+    """The documents, all columns as they were, with exactly one row of each component.
+
+    The first by doc_id (null last) and a hash of the text stays; of rows that repeat
+    both, the smallest by all columns. Documents without words stay.
     """
-    joined = ngram_join(documents)
-    gone = joined.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    scratch = Scratch(documents.sparkSession, "singles")
+    joined = scratch.keep("joined", _joined(documents, scratch).where("n > 0").groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("times")))
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
+    firsts = scratch.keep("firsts", joined.groupBy("label").agg(F.min(place).alias("first")).select("label", "first.doc_id", "first.text_hash"))
+    same = F.col("j.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("j.text_hash") == F.col("f.text_hash"))
+    marked = joined.alias("j").join(firsts.alias("f"), "label").select("j.doc_id", "j.text_hash", "times", same.alias("stays"))
+    marked = scratch.keep("marked", marked.where("not stays or times > 1"))
+    left = _rows_of(documents, marked, "left_anti")
+    again = _rows_of(documents, marked.where("stays"), "left_semi")
+    one = again.groupBy(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text")).agg(F.min(F.struct(*documents.columns)).alias("_one"))
+    return left.unionByName(one.select("_one.*"))
