@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from .components import WORDS, link_buckets, parity
 from .scratch import Scratch
 
-#: Characters of a shingle; lines with fewer than MIN_CHARS characters are never dropped.
+#: Characters of a shingle; lines with fewer than MIN_CHARS characters have none and are compared for equality alone.
 SHINGLE = 8
-MIN_CHARS = 16
+MIN_CHARS = SHINGLE
 #: 100 times the similarity from which two lines are the same.
 SIMILARITY = 80
 #: Of pairs at the threshold one in 23 000 shares no band.
@@ -49,7 +49,7 @@ def _lines(documents: DataFrame) -> DataFrame:
     """A row for each line that may be dropped: its document, number, hashes and text."""
     row = F.xxhash64("doc_id", "text").alias("row")
     split = documents.where(F.col("text").isNotNull()).select("doc_id", row, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return split.where(F.length(F.trim("line")) >= MIN_CHARS).select("doc_id", "row", "line_no", F.xxhash64("line").alias("key"), F.xxhash64("line", F.lit(1)).alias("key2"), "line")
+    return split.where(F.col("line").rlike(r"\S")).select("doc_id", "row", "line_no", F.xxhash64("line").alias("key"), F.xxhash64("line", F.lit(1)).alias("key2"), "line")
 
 
 def _bands(lines: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def _bands(lines: DataFrame) -> DataFrame:
 
 def _components(scratch: Scratch, lines: DataFrame) -> DataFrame:
     """key and component of the lines that are linked to an unequal one."""
-    bands = scratch.keep("bands", _bands(lines))
+    bands = scratch.keep("bands", _bands(lines.where(F.length(F.trim("line")) >= MIN_CHARS)))
     scratch.release()
     rows = bands.select("key", F.explode("bands").alias("bucket"))
     found = scratch.keep("buckets", rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where("n > 1"))
@@ -109,7 +109,8 @@ def dropped_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
 def line_dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, dropped_lines (numbers from 0) and the text that is left of every document.
 
-    Lines with less than MIN_CHARS characters within white space stay as they are.
+    Blank lines stay as they are; lines with less than MIN_CHARS characters, spaces at
+    the ends aside, go as exact copies alone.
     Of each component of equal or similar lines the first in order of doc_id (null
     last), a hash of the row and line number stays; rows with the same doc_id and text
     lose the same lines. Null text has no lines and stays null, empty text has one

@@ -50,3 +50,32 @@ def test_recall_at_the_threshold(recall):
 def test_bands_lose_next_to_nothing(recall):
     assert (1 - (line_dedup.SIMILARITY / 100) ** line_dedup.ROWS) ** line_dedup.BANDS < 0.0005
     assert min(recall.values()) >= 0.998
+
+
+def test_against_all_pairs(spark):
+    """Short and long near copies and exact copies of very short lines against all pairs."""
+    rng = random.Random(9)
+    lines = [x for _, a, b in near_pairs(0.84, 0.97, 8, 3) + near_pairs(0.6, 0.78, 8, 4) for x in (a, b)]
+    lines += ["Home", "Home", "twelve chars", "twelve chars!", "", "", "\t", "\t"] + lines[:6]
+    rng.shuffle(lines)
+    docs = [(i, lines[4 * i : 4 * i + 4]) for i in range((len(lines) + 3) // 4)]
+    places = [(i, k, line) for i, own in docs for k, line in enumerate(own) if line.strip()]
+    parent = list(range(len(places)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (_, _, a) in enumerate(places):
+        for j, (_, _, b) in enumerate(places[:i]):
+            if a == b or (min(len(a), len(b)) >= 8 and 5 * len(shingles(a) & shingles(b)) >= 4 * len(shingles(a) | shingles(b))):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    want = {i: [] for i, _ in docs}
+    for i, (doc, k, _) in enumerate(places):
+        if find(i) != i:
+            want[doc].append(k)
+    got = line_dedup.line_dedup(spark.createDataFrame([(i, "\n".join(own)) for i, own in docs], "doc_id long, text string"))
+    assert {r.doc_id: r.dropped_lines for r in got.collect()} == want
+    assert sum(map(len, want.values())) >= 8 * len(LENGTHS)
