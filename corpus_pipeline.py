@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", pack),
 ]
 
-#: Models, hashes and tokens have no SQL; the stages are tested against brute force.
+#: Models, hashes and tokens have no SQL; op1 and op3 are tested against all pairs, the pipeline as a whole is not.
 ORACLE_SQL = None
 
 
