@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 4096
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,7 +38,8 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
+    """The powers of the base of polynomial hashes and of its inverse, n at least."""
     if len(_powers[0]) < n:
         size = max(n, CHUNK_BYTES + 1)
         with np.errstate(over="ignore"):
@@ -88,7 +90,7 @@ class Text:
     def hashes(self, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
         """A 64-bit hash of each byte span; with fold, A-Z count as a-z."""
         with np.errstate(over="ignore"):
-            power, inverse = _power(len(self.data) + 1)
+            power, inverse = powers(len(self.data) + 1)
             if fold not in self._sums:
                 sums = np.zeros(len(self.data) + 1, np.uint64)
                 np.cumsum((_FOLDED if fold else _CASED)[self.data] * power[: len(self.data)], out=sums[1:])
@@ -147,20 +149,20 @@ def shingles(text: Text, size: int) -> tuple[np.ndarray, np.ndarray]:
     return found, np.bincount(own, minlength=text.n)
 
 
-def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``limit`` bytes of text each, so memory does not follow the batch."""
+def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` bytes of text and at most ``rows`` rows each, so memory does not follow the batch."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    block = (np.cumsum(sizes) - sizes) // limit
+    block = (np.cumsum(sizes) - sizes) // limit + np.arange(batch.num_rows) // rows * (int(sizes.sum()) // limit + 2)
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
 
 
-def array_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
+def array_chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[pa.Array]:
     """As ``chunks``, for a single column."""
-    for part in chunks(pa.RecordBatch.from_arrays([column], ["text"]), "text", limit):
+    for part in chunks(pa.RecordBatch.from_arrays([column], ["text"]), "text", limit, rows):
         yield part.column(0)
 
 

@@ -4,7 +4,7 @@ Pieces are dealt to partitions of bounded size and each is packed by best-fit
 decreasing. Dual feasible functions give a lower bound on the bins any packing of
 the partition needs: a partition that meets its bound is certified. The others
 keep their full bins, exchange the documents of the rest by a new deal, and are
-packed again, as long as that saves bins.
+packed again, as long as a round saves a bin, and one in WORTH of those dealt anew.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 
 from .bytetext import chunks
 from .scratch import Scratch
-from .tokens import DEFAULT_TOKENIZER, crc, encoder
+from .tokens import DEFAULT_TOKENIZER, crc, encoder, ended
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces that one task packs, about; its memory is a few dozen bytes for each.
 PIECES_PER_TASK = 50_000
-ROUNDS = 3
+#: A round of exchange that saves fewer than one in so many of the loose bins is the last.
+WORTH = 1000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,16 +41,16 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def token_pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """A row for each piece of each document: its ids' place, number and crc32. Null text has the end id alone."""
-    tail = np.array([END_ID], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = encoder(tokenizer)
         for batch in batches:
             for part in chunks(batch, "text"):
                 rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), library.encode(part.column("text").to_pylist()), strict=True):
-                    ids += tail
-                    rows += [(doc_id, i, at, n, crc(ids[4 * at : 4 * (at + n)])) for i, (at, n) in enumerate(cut(len(ids) // 4, capacity))]
+                ids, counts = ended(*library.encode(part.column("text").to_pylist()), END_ID)
+                for doc_id, end, total in zip(part.column("doc_id").to_pylist(), np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+                    first = end - total
+                    rows += [(doc_id, i, at, n, crc(ids[first + at : first + at + n])) for i, (at, n) in enumerate(cut(total, capacity))]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -127,7 +128,10 @@ def _packed(pieces: DataFrame, deal: Column, parts: int, capacity: int, turn: in
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every document.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and gap of every piece of every document.
+
+    ``gap`` is the number of bins over the lower bound in the task that packed the piece
+    last; 0 certifies that no packing of that task's pieces has fewer.
 
     Pieces of the whole capacity are sequences of their own. Null and empty texts are
     a piece of the end id alone; repeated rows and ids are packed as rows of their
@@ -138,16 +142,22 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
     short = pieces.where(F.col("length") < capacity)
     parts = max(1, round(short.count() / PIECES_PER_TASK))
     state = scratch.keep("packed0", _packed(short, F.xxhash64("row"), parts, capacity, 0))
-    for turn in range(1, ROUNDS + 1):
+    turn = 0
+    while True:
+        turn += 1
         loose = (F.col("gap") > 0) & (F.col("room") > 0)
         before = state.where(loose).agg(F.count("*").alias("rows"), F.count_distinct("sequence_id").alias("bins"), F.count_distinct(F.shiftright("sequence_id", 32)).alias("tasks")).first()
         if before["tasks"] < 2:
             break  # nobody to exchange with
         parts = max(1, round(before["rows"] / PIECES_PER_TASK))
         again = scratch.keep(f"again{turn}", _packed(state.where(loose).select(*pieces.columns), F.xxhash64("row", F.lit(turn)), parts, capacity, turn))
-        if again.select("sequence_id").distinct().count() >= before["bins"]:
+        saved = before["bins"] - again.select("sequence_id").distinct().count()
+        if saved <= 0:
             break
         state = scratch.keep(f"packed{turn}", state.where(~loose).unionByName(again))
-    whole = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long")})
-    names = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+        scratch.drop(f"packed{turn - 1}", f"again{turn}")
+        if saved * WORTH < before["bins"]:
+            break
+    whole = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long"), "gap": F.lit(0).cast("long")})
+    names = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap")
     return state.select(*names).unionByName(whole.select(*names))

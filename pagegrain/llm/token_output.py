@@ -21,7 +21,7 @@ from pyspark.sql.types import LongType
 from .bytetext import chunks, lists
 from .ordering import offsets
 from .scratch import Scratch, arrow_rows
-from .tokens import DEFAULT_TOKENIZER, crc, encoder
+from .tokens import DEFAULT_TOKENIZER, crc, encoder, ended
 
 END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
@@ -37,7 +37,6 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str = DEFAULT_TOKEN
     ``encoding`` is ``delta`` or ``dictionary``. Null text is empty; a null doc_id
     comes first; rows of one doc_id stand in order of a hash of their text.
     """
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = encoder(tokenizer)
@@ -45,12 +44,14 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str = DEFAULT_TOKEN
         done = 0
         for batch in batches:
             for part in chunks(batch, "text"):
-                ids = [x + tail for x in library.encode(part.column("text").to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int32)
-                start = done + np.cumsum(n, dtype=np.int64) - n
+                ids, counts = library.encode(part.column("text").to_pylist())
+                if end_id is not None:
+                    ids, counts = ended(ids, counts, end_id)
+                n = counts.astype(np.int32)
+                start = done + np.cumsum(counts) - counts
                 done += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.full(len(n), shard, np.int32)), pa.array(start), pa.array(n), lists(pa.array(np.frombuffer(b"".join(ids), "<i4")), n)],
+                    [part.column("doc_id"), pa.array(np.full(len(n), shard, np.int32)), pa.array(start), pa.array(n), lists(pa.array(ids.view(np.int32)), n)],
                     ["doc_id", "shard", "shard_start", "n_tokens", "ids"],
                 )
 
@@ -80,7 +81,7 @@ def ids_crc32(ids: pa.Array) -> pa.Array:
     """Unsigned crc32 of each list's ids as little-endian unsigned 32-bit integers."""
     values = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
     at = ids.offsets.to_numpy()
-    return pa.array([crc(values[a:b].tobytes()) for a, b in zip(at, at[1:], strict=False)], pa.int64())
+    return pa.array([crc(values[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.int64())
 
 
 def token_output(documents: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
