@@ -40,6 +40,9 @@ COMPRESSION = 6
 #: Fixed value: the first bytes of a PNG file.
 PNG = b"\x89PNG\r\n\x1a\n"
 MEMBER = "archive string, offset long, name string, media binary"
+DESCRIBED = "archive string, offset long, doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: Byte ranges that the driver plans, besides one for each archive.
+MAX_RANGES = 100_000
 
 
 def padded(data: bytes) -> bytes:
@@ -150,14 +153,19 @@ class ByteRange(InputPartition):
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.uri = options["path"]
-        self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
+        self.range_bytes = int(options.get("range_bytes", 0))
         self.retries = int(options.get("retries", RETRIES))
+        self.describe = options.get("describe", "false").lower() == "true"
 
     def partitions(self) -> list[ByteRange]:
-        """Byte ranges of each archive by its size; no archive is opened here."""
+        """Byte ranges of each archive by its size; no archive is opened here.
+
+        Ranges grow with the folder, so that the driver plans MAX_RANGES and one for each archive at most.
+        """
         fs, folder = pafs.FileSystem.from_uri(self.uri)
         files = sorted((f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(folder)) if f.path.endswith(".zip"))
-        ranges = [ByteRange(path, at, min(at + self.range_bytes, size)) for path, size in files for at in range(0, size, self.range_bytes)]
+        step = self.range_bytes or max(RANGE_BYTES, -(-sum(size for _, size in files) // MAX_RANGES))
+        ranges = [ByteRange(path, at, min(at + step, size)) for path, size in files for at in range(0, size, step)]
         return ranges or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -165,23 +173,24 @@ class ArchiveReader(DataSourceReader):
             return
         fs, _ = pafs.FileSystem.from_uri(self.uri)
         members = _Members(fs, partition.archive, self.retries)
-        rows: list[tuple[int, str, bytes]] = []
+        rows: list[tuple] = []
         held = 0
         for info in members.directory():
             if partition.start <= info.header_offset < partition.end:
                 data = members.read(info)
-                rows.append((info.header_offset, info.filename, data))
-                held += len(data)
+                row = described(info.filename, data) if self.describe else (info.filename, data)
+                rows.append((partition.archive, info.header_offset, *row))
+                held += 256 if self.describe else len(data)
                 if held >= BATCH_BYTES:
-                    yield self._batch(partition.archive, rows)
+                    yield self._batch(rows)
                     rows, held = [], 0
         if rows:
-            yield self._batch(partition.archive, rows)
+            yield self._batch(rows)
 
-    @staticmethod
-    def _batch(archive: str, rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
-        offset, name, media = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array([archive] * len(rows)), pa.array(offset, pa.int64()), pa.array(name), pa.array(media, pa.binary())], ["archive", "offset", "name", "media"])
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+        names, types = zip(*(c.split() for c in (DESCRIBED if self.describe else MEMBER).split(", ")), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(zip(*rows, strict=True), types, strict=True)], list(names))
 
 
 class _Members:
@@ -226,7 +235,8 @@ class _Members:
 class ArchiveSource(DataSource):
     """``spark.read.format("archive").load(folder)``: a row for each member of each ZIP archive in the folder.
 
-    Members are stored, not compressed. Options: range_bytes, retries.
+    Members are stored, not compressed. Options: range_bytes (default: 8 MB, more in folders of
+    over MAX_RANGES times that), retries, describe (digests and features instead of the media bytes).
     """
 
     @classmethod
@@ -234,7 +244,7 @@ class ArchiveSource(DataSource):
         return "archive"
 
     def schema(self) -> str:
-        return MEMBER
+        return DESCRIBED if dict(self.options).get("describe", "false").lower() == "true" else MEMBER
 
     def reader(self, schema) -> ArchiveReader:
         return ArchiveReader(dict(self.options))
@@ -242,23 +252,17 @@ class ArchiveSource(DataSource):
 
 def feature(samples: np.ndarray) -> str:
     """Mean, deviation and the shares of sixteen brightness steps, of the samples as read."""
-    steps = np.bincount(samples >> 4, minlength=16) * 255 // len(samples)
-    total, squares = int(samples.sum(dtype=np.int64)), int((samples.astype(np.int64) ** 2).sum())
-    mean = total / len(samples)
+    level = np.bincount(samples, minlength=256)
+    steps = level.reshape(16, 16).sum(1) * 255 // len(samples)
+    value = np.arange(256)
+    mean, squares = int(level @ value) / len(samples), int(level @ value**2)
     return f"{mean:.4f} {max(0.0, squares / len(samples) - mean * mean) ** 0.5:.4f} {bytes(steps.astype(np.uint8)).hex()}"
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, archive string, offset long"
-
-
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for archive, offset, name, media in zip(*(batch.column(c).to_pylist() for c in ("archive", "offset", "name", "media")), strict=True):
-            payload, n_bytes = from_png(media)
-            rows.append((None if name == "null" else int(name), n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(np.frombuffer(payload, np.uint8)), archive, offset))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if isinstance(c[0], str) else pa.int64()) for c in zip(*rows, strict=True)], [f.split()[0] for f in FEATURES.split(", ")])
+def described(name: str, media: bytes) -> tuple:
+    """The columns of DESCRIBED after archive and offset, from a member's name and bytes."""
+    payload, n_bytes = from_png(media)
+    return (None if name == "null" else int(name), n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(np.frombuffer(payload, np.uint8)))
 
 
 def media_columns(documents: DataFrame) -> DataFrame:
@@ -272,4 +276,5 @@ def media_columns(documents: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "media")
     write_archives(documents, scratch.path("archives"))
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("archive").load(scratch.path("archives")).mapInArrow(_described, FEATURES)
+    # the task that reads a member also describes it: one Python worker, and no payload goes through the JVM
+    return spark.read.format("archive").option("describe", "true").load(scratch.path("archives"))
