@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import array_chunks
+from .names import fresh
 
 UNDETERMINED = "und"
 #: n-grams are hashed into this many presence cells.
@@ -33,6 +34,12 @@ RIDGE = 1e-2
 SLOPE = 6.0
 #: The pipeline rejects what scores less.
 MIN_SCORE = 0.4
+#: Texts of one matrix product: CELLS bytes each, and four times that as numbers.
+ROWS = 128
+#: Languages that can be learned, the most frequent ones; the model is CELLS numbers for each.
+MAX_LANGUAGES = 256
+#: Parts of a language in which its sample is first looked for.
+SALTS = 32
 
 _letters: list[np.ndarray] = []
 
@@ -125,23 +132,30 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(documents: DataFrame) -> Model:
-    """Learn from at most SAMPLE_PER_LANGUAGE rows of each language, the first by a hash of
-    doc_id, none of them held out. Rows with null text or lang teach nothing."""
+    """Learn from at most SAMPLE_PER_LANGUAGE ids of each of MAX_LANGUAGES languages, the first by a hash
+    of doc_id, none of them held out. Rows with null text or lang teach nothing."""
 
     @F.arrow_udf("binary")
     def packed(column: pa.Array) -> pa.Array:
         out: list[bytes] = []
-        for part in array_chunks(column):
+        for part in array_chunks(column, rows=ROWS):
             out += [r.tobytes() for r in np.packbits(presence(part.to_pylist())[0], axis=1)]
         return pa.array(out, pa.binary())
 
-    rows = documents.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("lang", "doc_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_PER_LANGUAGE).select("lang", "doc_id").distinct()
-    languages = chosen.select("lang").distinct().count()
-    # chosen holds SAMPLE_PER_LANGUAGE ids for each language at most
-    sample = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").limit(SAMPLE_PER_LANGUAGE * max(1, languages))
-    got = sorted(((r["lang"], r["doc_id"], bytes(r["bits"])) for r in sample.select("lang", "doc_id", packed("text").alias("bits")).collect()))
+    rows = documents.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    most = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES)
+    languages = [r["lang"] for r in most.collect()]
+    # a part hands on SAMPLE_PER_LANGUAGE ids, so a language's last choice is among a bounded number
+    ids = rows.where(F.col("lang").isin(languages)).select("lang", "doc_id", F.xxhash64("doc_id").alias("hash")).withColumn("salt", F.pmod("hash", F.lit(SALTS)))
+    for parts in (("lang", "salt"), ("lang",)):
+        place = F.row_number().over(Window.partitionBy(*parts).orderBy("hash", "doc_id"))
+        ids = ids.dropDuplicates(["lang", "doc_id"]) if "salt" in parts else ids
+        ids = ids.withColumn("place", place).where(F.col("place") <= SAMPLE_PER_LANGUAGE).drop("place")
+    # ids holds SAMPLE_PER_LANGUAGE rows for each of MAX_LANGUAGES at most
+    picked = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(F.broadcast(ids.select("lang", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"))), ["lang", "key"], "left_semi")
+    # of rows that repeat an id the first by a hash of the text
+    sample = picked.groupBy("lang", "key").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = sorted(((r["lang"], r["key"], bytes(r["bits"])) for r in sample.select("lang", "key", packed("text").alias("bits")).collect()))
     if not got:
         return fit(np.zeros((0, CELLS // 8), np.uint8), [])
     return fit(np.stack([np.frombuffer(bits, np.uint8) for _, _, bits in got]), [x for x, _, _ in got])
@@ -156,7 +170,7 @@ def classify(text: Column | str, model: Model) -> Column:
         for column in columns:
             names: list[str] = []
             scores: list[np.ndarray] = []
-            for part in array_chunks(column):
+            for part in array_chunks(column, rows=ROWS):
                 name, score = model.predict(part.to_pylist())
                 names += name
                 scores.append(score)
@@ -177,7 +191,10 @@ def language_id(documents: DataFrame) -> DataFrame:
 
 
 def accepted(documents: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents, all columns as they were, whose language is told with ``min_score`` or more."""
+    """The documents, all columns as they were, whose language is told with ``min_score`` or more.
+
+    Null and letterless texts go; an empty table stays empty.
+    """
     model = train(documents)
-    mark = "_lid_accepted"
+    mark = fresh(documents, "lid")
     return documents.withColumn(mark, classify(F.col("text"), model)).where((F.col(f"{mark}.lang_pred") != UNDETERMINED) & (F.col(f"{mark}.score") >= min_score)).drop(mark)
