@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import fresh
 from .scratch import Scratch
 from .thresholds import budget_thresholds
 
@@ -91,13 +92,14 @@ def mixed(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     """The documents that the mix takes, each as often as it is taken, all columns as they were.
 
     Texts are filtered in place by their hash and are not shuffled by it. Documents
-    without words carry nothing to mix and stay once.
+    without words carry nothing to mix and stay once; an empty table stays empty.
     """
     scratch = Scratch(documents.sparkSession, "mixing")
     rows = scratch.keep("rows", documents.select(_group().alias("group"), word_count("text").alias("weight"), _key().alias("key")))
-    plan = _plan(scratch, rows, weights, share).select(F.col("group").alias("_mix_group"), F.struct("copies", "threshold").alias("_mix"))
-    key = _key()
-    more = (F.col("_mix.copies") < MOST_REPEATS) & (key < F.col("_mix.threshold"))
-    times = F.when(word_count("text") == 0, 1).otherwise(F.col("_mix.copies") + F.when(more, 1).otherwise(0))
-    joined = documents.join(plan, _group() == F.col("_mix_group"))
-    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), times))).drop("_mix_copy", "_mix_group", "_mix")
+    own, plan_of, copy = fresh(documents, "group"), fresh(documents, "plan"), fresh(documents, "copy")
+    plan = _plan(scratch, rows, weights, share).select(F.col("group").alias(own), F.struct("copies", "threshold").alias(plan_of))
+    more = (F.col(f"{plan_of}.copies") < MOST_REPEATS) & (_key() < F.col(f"{plan_of}.threshold"))
+    times = F.when(word_count("text") == 0, 1).otherwise(F.col(f"{plan_of}.copies") + F.when(more, 1).otherwise(0))
+    # a row for each source
+    joined = documents.withColumn(own, _group()).join(F.broadcast(plan), own)
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in documents.columns])
