@@ -1,6 +1,7 @@
 """The operators against brute force on a small fixture with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import collections
+import hashlib
 import random
 import re
 import zlib
@@ -96,8 +97,15 @@ def test_ngram_join(spark, docs, none, monkeypatch, many, broadcast):
 def test_media(spark, docs, none):
     rows = media.media_columns(docs).collect()
     assert len(rows) == len(ROWS)
-    want = collections.Counter((r[0], len((r[1] or "").encode()), zlib.crc32(media.padded((r[1] or "").encode())[-16:])) for r in ROWS)
-    assert collections.Counter((r.doc_id, r.n_bytes, r.tail_crc32) for r in rows) == want
+    want = collections.Counter()
+    for r in ROWS:
+        data = (r[1] or "").encode()
+        payload = data + b" " * (max(1, -(-len(data) // 192)) * 192 - len(data))
+        stored = media.to_png(data)
+        level = np.frombuffer(payload, np.uint8).astype(float)
+        share = bytes(int((level // 16 == k).sum()) * 255 // len(payload) for k in range(16)).hex()
+        want[r[0], len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{level.mean():.4f} {level.std():.4f} {share}"] += 1
+    assert collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in rows) == want
     assert media.media_columns(none).count() == 0
     data = "é x".encode()
     assert media.from_png(media.to_png(data)) == (media.padded(data), len(data))
@@ -162,7 +170,47 @@ def test_language_id(docs, none):
     assert all(by[i].lang_pred == ("de" if i % 3 == 0 else "en") for i in range(60))
     assert all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
     assert langid.language_id(none).count() == 0
-    assert langid.accepted(docs).columns == docs.columns
+    kept = langid.accepted(docs.withColumn("_lid", F.lit(7)))
+    assert kept.columns == [*docs.columns, "_lid"]
+    assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter(r.doc_id for r in rows if r.lang_pred != "und" and r.score >= langid.MIN_SCORE)
+    assert langid.accepted(none).count() == 0
+
+
+def test_language_kernel():
+    """One kernel value, the ridge solution and the memory of many short texts."""
+    rng = random.Random(2)
+    texts = [words(rng, 12, "de" if i % 2 else "en") for i in range(60)]
+
+    def grams(text):
+        s = re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0][0].isalpha() else " ", text.lower())
+        s = re.sub(" +", " ", s)
+        return {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
+
+    rows, has = langid.presence(texts)
+    assert has.all()
+    a, b = grams(texts[0]), grams(texts[1])
+    shared = int((rows[0] & rows[1]).sum())
+    assert abs(shared - len(a & b)) <= 2 and abs(int(rows[0].sum()) - len(a)) <= 2  # hashed cells may meet
+    model = langid.fit(np.packbits(rows, axis=1), ["de" if i % 2 else "en" for i in range(60)])
+    # the plain form: features against the landmarks, all texts here, then ridge regression
+    unit = rows / np.sqrt(rows.sum(1, keepdims=True))
+    kernel = unit @ unit.T
+    value, vector = np.linalg.eigh(kernel)
+    good = value > 1e-6 * value.max()
+    mapped = kernel @ (vector[:, good] / np.sqrt(value[good]))
+    target = np.array([[1.0, -1.0] if i % 2 else [-1.0, 1.0] for i in range(60)])
+    centred = mapped - mapped.mean(0)
+    weights = np.linalg.solve(centred.T @ centred / 60 + langid.RIDGE / 60 * np.eye(mapped.shape[1]), centred.T @ (target - target.mean(0)) / 60)
+    want = centred @ weights + target.mean(0)
+    got = (rows.astype(np.float32) @ model.weights) / np.sqrt(rows.sum(1))[:, None] + model.bias
+    assert np.allclose(got, want, atol=1e-3)
+
+
+def test_language_rows_are_bounded(monkeypatch):
+    seen = []
+    column = pa.array(["wir sind hier zwanzig"] * 10_000)
+    seen = [len(part) for part in langid.array_chunks(column, rows=langid.ROWS)]
+    assert sum(seen) == 10_000 and max(seen) <= langid.ROWS
 
 
 def test_mixing(docs, none):
@@ -177,7 +225,14 @@ def test_mixing(docs, none):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * max(r.size for r in own)
     assert mixing.targets({"b": 10, "a": 100, None: 10}) == {"a": 140.0, "b": 20.0, None: 20.0}
     assert mixing.mix_sources(none).count() == 0
-    assert mixing.mixed(docs).columns == docs.columns
+    mixed = mixing.mixed(docs.withColumns({c: F.lit(5) for c in ("_mix", "_group", "_plan", "copies")}))
+    assert mixed.columns == [*docs.columns, "_mix", "_group", "_plan", "copies"] and mixed.where("_mix = 5 and _group = 5 and _plan = 5 and copies = 5").count() == mixed.count()
+    times = collections.Counter((r.doc_id, r.text, r.source) for r in mixed.collect())
+    want = collections.Counter()
+    for r in rows:
+        want[r.doc_id] += r.taken // r["size"] if r["size"] else 1
+    assert collections.Counter({k: v for k, v in want.items() if v}) == sum((collections.Counter({k[0]: v}) for k, v in times.items()), collections.Counter())
+    assert mixing.mixed(none).count() == 0
 
 
 def test_quality_rules(docs, labels, none):
@@ -247,6 +302,15 @@ def test_packing(docs, none):
     for r in ROWS:
         want[r[0]] += 1 + len(library.encode(r[1] or "", add_special_tokens=False).ids)
     assert total == want
+    # every piece: its place in its document, its ids, and the cut at whole sequences from the end
+    pieces = collections.Counter()
+    for r in ROWS:
+        ids = np.array([*library.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")
+        bounds = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)] if len(ids) > 2048 else [0, len(ids)]
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            pieces[r[0], i, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == pieces
+    assert {r.gap for r in rows} == {0}
     assert packing.pack_documents(none).count() == 0
 
 
@@ -274,4 +338,21 @@ def test_importance(docs, labels, none):
 def test_tokens():
     e = tokens.encoder()
     odd = ["", "a\x1cb  c\x1d ", "don't  we'll\n\n\tx 12³ ½ _a-b ", "é́  x\xa0 y", "中文 テスト👍🏽 <|endoftext|> z", " \n x\x85y", "İıſ'S 'Re", " ʼn ª º ١٢", *(r[1] for r in ROWS if r[1])]
-    assert e.encode(odd) == [e.whole(t) for t in odd]
+    ids, counts = e.encode([*odd, None])
+    ends = np.cumsum(counts)
+    assert [ids[b - n : b].tolist() for b, n in zip(ends, counts)] == [*(e.whole(t).tolist() for t in odd), []]
+
+
+@pytest.mark.parametrize(("chars", "pieces"), [(40, 1_000_000), (1 << 19, 300), (40, 20)])
+def test_tokens_in_parts(monkeypatch, chars, pieces):
+    monkeypatch.setattr(tokens, "PART_CHARS", chars)
+    monkeypatch.setattr(tokens, "KNOWN_PIECES", pieces)
+    rng = random.Random(5)
+    signs = " \n\t'  stmdrevlalLxé١9.,-\u3000\xa0你\U0001f600\U0010ffff''"
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(400)] + [r[1] for r in ROWS[:40]]
+    e = tokens.Encoder()
+    for at in range(0, len(texts), 9):
+        ids, counts = e.encode(texts[at : at + 9])
+        ends = np.cumsum(counts)
+        for text, b, n in zip(texts[at : at + 9], ends, counts):
+            assert ids[b - n : b].tolist() == e.whole(text).tolist(), text
