@@ -1,9 +1,11 @@
 """Fuzzy line dedup, in DataFrame operations alone.
 
-A line is the set of its character shingles. Signatures are MinHashes over all of
-them, each shingle hashed again for every seed; lines that share a band of the signature are candidates, verified by the Jaccard
-similarity of their whole shingle sets. Verified links are joined by a distributed
-union-find, and of each component the first line in order of document stays.
+A line is the set of its character shingles, all of which are signed. Each shingle is
+hashed to 128 bits, and BANDS minima are taken over rotations of these under as many
+masks. A band is ROWS of the minima, and each minimum serves ROWS bands. Lines that
+share a band are candidates, verified by the Jaccard similarity of their whole shingle
+sets. Verified links are joined by a distributed union-find, and of each component the
+first line in order of document stays.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import WORDS, link_buckets, parity
+from .components import WORDS, link_buckets, may_link, parity
+from .names import fresh
 from .scratch import Scratch
 
 #: Characters of a shingle; lines with fewer than MIN_CHARS characters have none and are compared for equality alone.
@@ -21,11 +24,19 @@ SHINGLE = 8
 MIN_CHARS = SHINGLE
 #: 100 times the similarity from which two lines are the same.
 SIMILARITY = 80
-#: Of pairs at the threshold one in 23 000 shares no band.
-BANDS, ROWS = 14, 3
+#: Of pairs at the threshold one in 4800 shares no band.
+BANDS, ROWS = 20, 3
+#: The minima of each band: a cyclic design, in which two bands share one minimum at most.
+MEMBERS = [(i, (i + 1) % BANDS, (i + 4) % BANDS) for i in range(BANDS)]
+#: Bits by which neighbours among the rotations of one hash differ.
+TURN = 64 // (BANDS // 2)
+#: Keys of candidate lines that are broadcast at most (some 30 MB) to pick their texts in place; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+#: A component with more than one in so many of the lines is hot; there are fewer of these than this.
+HOT_SHARE = 1000
 
 _random = random.Random(8)
-SEEDS = [_random.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
+MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(BANDS)]
 
 
 def _units(line: Column | str) -> Column:
@@ -38,13 +49,6 @@ def _shingles(units: str) -> Column:
     return F.expr(f"array_distinct(transform(sequence(1, octet_length({units}) - {2 * SHINGLE - 1}, 2), i -> xxhash64(substring({units}, i, {2 * SHINGLE}))))")
 
 
-def _exploded(lines: DataFrame) -> DataFrame:
-    """key and h, a row for each shingle of each line."""
-    units = lines.select("key", _units("line").alias("units"))
-    at = F.explode(F.expr(f"sequence(1, octet_length(units) - {2 * SHINGLE - 1}, 2)"))
-    return units.select("key", "units", at.alias("at")).select("key", F.xxhash64(F.expr(f"substring(units, at, {2 * SHINGLE})")).alias("h"))
-
-
 def _lines(documents: DataFrame) -> DataFrame:
     """A row for each line that may be dropped: its document, number, hashes and text."""
     row = F.xxhash64("doc_id", "text").alias("row")
@@ -52,31 +56,44 @@ def _lines(documents: DataFrame) -> DataFrame:
     return split.where(F.col("line").rlike(r"\S")).select("doc_id", "row", "line_no", F.xxhash64("line").alias("key"), F.xxhash64("line", F.lit(1)).alias("key2"), "line")
 
 
+def _rotated(h: Column, by: int) -> Column:
+    return F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by)) if by else h
+
+
 def _bands(lines: DataFrame) -> DataFrame:
-    """key and the hashes of its signature's bands. Equal lines meet in one row."""
-    minima = [F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(s)))).alias(f"m{i}") for i, s in enumerate(SEEDS)]
-    signed = _exploded(lines).groupBy("key").agg(*minima)
-    bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + i}" for i in range(ROWS)]) for b in range(BANDS)]
-    return signed.select("key", F.array(*bands).alias("bands"))
+    """key and the hashes of its signature's bands. Equal lines meet in one row, most within their task."""
+    units = lines.select("key", _units("line").alias("units"))
+    at = F.explode(F.expr(f"sequence(1, octet_length(units) - {2 * SHINGLE - 1}, 2)"))
+    hashed = units.select("key", "units", at.alias("at")).select("key", F.xxhash64(F.expr(f"substring(units, at, {2 * SHINGLE})")).alias("h"))
+    twice = hashed.select("key", F.col("h").alias("h0"), F.xxhash64("h").alias("h1"))
+    minima = [F.min(_rotated(F.col(f"h{i % 2}"), TURN * (i // 2)).bitwiseXOR(F.lit(mask))).alias(f"m{i}") for i, mask in enumerate(MASKS)]
+    signed = twice.groupBy("key").agg(*minima)
+    return signed.select("key", F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in band]) for b, band in enumerate(MEMBERS)]).alias("bands"))
 
 
 def _components(scratch: Scratch, lines: DataFrame) -> DataFrame:
-    """key and component of the lines that are linked to an unequal one."""
-    bands = scratch.keep("bands", _bands(lines.where(F.length(F.trim("line")) >= MIN_CHARS)))
+    """id and label of the lines that are linked to an unequal one."""
+    bands = scratch.keep("bands", _bands(lines.where(F.length("line") >= MIN_CHARS)))
     scratch.release()
     rows = bands.select("key", F.explode("bands").alias("bucket"))
     found = scratch.keep("buckets", rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where("n > 1"))
     scratch.release()
-    first = found.where("n = 2").select("a", "b")
-    members = rows.join(found.where("n > 2").select("bucket"), "bucket", "left_semi").select("bucket", F.col("key").alias("id"))
-    members = scratch.keep("large", members)
+    first = found.where("n = 2").select("a", "b").distinct()
+    wide = found.where("n > 2").select("bucket")
+    if wide.count() <= BROADCAST_KEYS:
+        wide = F.broadcast(wide)
+    members = scratch.keep("large", rows.join(wide, "bucket", "left_semi").select("bucket", F.col("key").alias("id")))
+    scratch.drop("bands")
     needed = scratch.keep("needed", first.select(F.explode(F.array("a", "b")).alias("key")).union(members.select("id")).distinct())
-    texts = lines.select("key", "line").join(needed, "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
-    texts = scratch.keep("texts", texts)
+    picked = F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed
+    # equal lines meet before the shuffle where they stand in one task
+    texts = scratch.keep_bucketed("texts", lines.select("key", "line").join(picked, "key", "left_semi").dropDuplicates(["key"]), "key")
     scratch.release()
-    shingle = _exploded(texts.join(members.select(F.col("id").alias("key")).distinct(), "key", "left_semi")).distinct()
+    shingle = texts.select("key", _units("line").alias("units")).select("key", F.explode(_shingles("units")).alias("h"))
     words = [F.bit_xor(parity(F.col("h"), w)).alias(f"g{w}") for w in range(WORDS)]
-    items = shingle.groupBy("key").agg(F.count("*").alias("n"), *words).withColumnRenamed("key", "id")
+    items = scratch.keep_bucketed("items", shingle.groupBy("key").agg(F.count("*").alias("n"), *words).withColumnRenamed("key", "id"), "id")
+    x, y = items.alias("x"), items.alias("y")
+    close = first.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(may_link(SIMILARITY, "x", "y")).select("a", "b")
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("key").alias("a"), _units("line").alias("ua"))
@@ -85,23 +102,32 @@ def _components(scratch: Scratch, lines: DataFrame) -> DataFrame:
         shared = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
         return shared.where(100 * F.col("shared") >= SIMILARITY * (F.col("total") - F.col("shared")))
 
-    return link_buckets(scratch, first, members, items, SIMILARITY, verify)
+    return link_buckets(scratch, scratch.keep("close", close), members, items, SIMILARITY, verify)
 
 
 def dropped_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """row (a hash of doc_id and text) and the numbers of its lines that go."""
     lines = _lines(documents)
-    labels = _components(scratch, lines).select(F.col("id").alias("key"), "label")
+    linked = _components(scratch, lines)
+    labels = linked.select(F.col("id").alias("key"), "label")
+    if linked.count() <= BROADCAST_KEYS:
+        labels = F.broadcast(labels)
     seen = lines.select("doc_id", "row", "line_no", "key", "key2").join(labels, "key", "left")
     # a line without links is a component with its equals, told apart by both hashes
-    seen = seen.select("doc_id", "row", "line_no", F.coalesce("label", "key").alias("c1"), F.when(F.col("label").isNull(), F.col("key2")).otherwise(0).alias("c2"))
-    seen = scratch.keep("seen", seen)
-    often = scratch.keep("often", seen.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2"))
-    again = scratch.keep("again", seen.join(often, ["c1", "c2"], "left_semi"))
+    seen = scratch.keep("seen", seen.select("doc_id", "row", "line_no", F.coalesce("label", "key").alias("c1"), F.when(F.col("label").isNull(), F.col("key2")).otherwise(0).alias("c2")))
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "line_no")
-    firsts = scratch.keep("firsts", again.groupBy("c1", "c2").agg(F.min(place).alias("first")))
-    gone = again.join(firsts, ["c1", "c2"]).where((F.col("row") != F.col("first.row")) | (F.col("line_no") != F.col("first.line_no")))
+    firsts = seen.groupBy("c1", "c2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
+    firsts = scratch.keep("firsts", firsts.select("c1", "c2", "times", F.col("first.row").alias("first_row"), F.col("first.line_no").alias("first_no")))
+    scratch.release()
+    # the hot components are few by their share of the lines: their lines are joined in place, the others' by a shuffle
+    least = seen.count() // HOT_SHARE
+    hot = F.broadcast(firsts.where(F.col("times") > least).select("c1", "c2", "first_row", "first_no", F.lit(True).alias("hot")))
+    marked = seen.join(hot, ["c1", "c2"], "left")
+    others = marked.where("hot is null").drop("hot", "first_row", "first_no").join(firsts.where(F.col("times") <= least).drop("times"), ["c1", "c2"])
+    again = marked.where("hot").drop("hot").unionByName(others)
+    gone = again.where((F.col("row") != F.col("first_row")) | (F.col("line_no") != F.col("first_no")))
     out = scratch.keep("gone", gone.groupBy("row").agg(F.sort_array(F.collect_set("line_no")).alias("dropped")))
+    scratch.drop("seen", "firsts")
     scratch.release()
     return out
 
@@ -109,36 +135,40 @@ def dropped_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
 def line_dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, dropped_lines (numbers from 0) and the text that is left of every document.
 
-    Blank lines stay as they are; lines with less than MIN_CHARS characters, spaces at
-    the ends aside, go as exact copies alone.
+    Blank lines stay as they are; lines with less than MIN_CHARS characters go as exact
+    copies alone.
     Of each component of equal or similar lines the first in order of doc_id (null
     last), a hash of the row and line number stays; rows with the same doc_id and text
     lose the same lines. Null text has no lines and stays null, empty text has one
-    empty line. Other columns are not read.
+    empty line, an empty table gives no rows. Other columns are not read.
     """
-    return _rewritten(documents.select("doc_id", "text")).select(
+    marked, gone, left = _rewritten(documents.select("doc_id", "text"))
+    return marked.select(
         "doc_id",
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"),
-        F.coalesce("_gone", F.array().cast("array<int>")).alias("dropped_lines"),
-        F.col("_left").alias("text"),
+        F.coalesce(gone, F.array().cast("array<int>")).alias("dropped_lines"),
+        left.alias("text"),
     )
 
 
-def _rewritten(documents: DataFrame) -> DataFrame:
+def _rewritten(documents: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """The documents with the numbers of the lines that go, null if none do, and the text that is left."""
     scratch = Scratch(documents.sparkSession, "lines")
-    gone = dropped_lines(documents, scratch).select(F.col("row").alias("_row"), F.col("dropped").alias("_gone"))
-    joined = documents.withColumn("_row", F.xxhash64("doc_id", "text")).join(gone, "_row", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    return joined.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).drop("_row")
+    row, gone = fresh(documents, "row"), fresh(documents, "gone")
+    dropped = dropped_lines(documents.select("doc_id", "text"), scratch).select(F.col("row").alias(row), F.col("dropped").alias(gone))
+    joined = documents.withColumn(row, F.xxhash64("doc_id", "text")).join(dropped, row, "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col(gone), i)), "\n")
+    return joined, F.col(gone), F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """The documents with the lines that are left; other columns as they were, n_chars counted again if it is there.
 
-    A document that loses lines and has no word left goes.
+    A document that loses lines and has no word left goes. An empty table stays empty.
     """
-    out = _rewritten(documents).where(F.col("_gone").isNull() | (F.length(F.trim("_left")) > 0))
-    out = out.withColumn("text", F.col("_left"))
+    marked, gone, left = _rewritten(documents)
+    out = marked.where(gone.isNull() | (F.length(F.trim(left)) > 0))
+    changed = {"text": left}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(documents.schema["n_chars"].dataType)))
-    return out.select(*documents.columns)
+        changed["n_chars"] = F.when(gone.isNull(), F.col("n_chars")).otherwise(F.length(left).cast(documents.schema["n_chars"].dataType))
+    return out.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns])
