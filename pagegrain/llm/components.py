@@ -18,6 +18,8 @@ from .scratch import Scratch
 CENTRES = 256
 #: First rounds that hold an item against centres of its first bucket alone.
 NARROW = 2
+#: Members of a bucket that one task holds against its centres; larger buckets are split.
+SPLIT = 2000
 #: 64-bit parity words of a set: each member flips the bit that the top ten bits of its hash name.
 WORDS = 16
 
@@ -74,6 +76,19 @@ def may_link(similarity: int, a: str, b: str) -> Column:
     return (100 * F.least(na, nb) >= similarity * F.greatest(na, nb)) & (differ <= total - 2 * least)
 
 
+def _star(scratch: Scratch, live: DataFrame, centres: DataFrame, on: Column) -> DataFrame:
+    """Members x with the centres y of their bucket. A large bucket's members are dealt to
+    several tasks, each with a copy of its centres, of which it has CENTRES at most."""
+    large = live.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > SPLIT)
+    parts = scratch.keep("large-buckets", large.select("bucket", F.ceil(F.col("members") / SPLIT).cast("int").alias("parts")))
+    if not parts.take(1):
+        return live.alias("x").join(centres.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & on)
+    # a row for SPLIT members
+    dealt = live.join(F.broadcast(parts), "bucket", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))
+    copies = centres.join(F.broadcast(parts), "bucket", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return dealt.alias("x").join(copies.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") == F.col("y.part")) & on)
+
+
 def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items: DataFrame, similarity: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """id and label of every item with a verified link, smallest id of its component.
 
@@ -110,9 +125,8 @@ def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items:
         slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(slots)).cast("int")
         best = live.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("label", "id")).alias("top")).select("bucket", F.col("top.id").alias("id"))
         centres = scratch.keep(f"centres{turn}", live.join(best, ["bucket", "id"]))
-        held = F.col("x.bucket") == F.col("y.bucket")
         apart = F.col("x.id") != F.col("y.id") if turn == 1 else F.col("x.label") != F.col("y.label")
-        star = live.alias("x").join(centres.alias("y"), held & apart & may_link(similarity, "x", "y"))
+        star = _star(scratch, live, centres, apart & may_link(similarity, "x", "y"))
         star = star.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         pairs = (first.select("a", "b").union(star) if turn == 1 else star).distinct()
         if tried is not None:

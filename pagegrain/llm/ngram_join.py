@@ -8,8 +8,9 @@ rare shingles are short and are joined outright; documents made almost wholly of
 frequent shingles have lists of any length, which are compared by centres and only
 across components.
 
-Documents with equal sets are one class. Classes with the same size and the same
-shingles in the lowest quarter (identical prefixes) are one group, which posts once.
+Documents with equal sets are one class. Sets too small to link with an unequal one
+end there. Classes with the same size and the same shingles in the lowest quarter
+(identical prefixes), one at least, are one group, which posts once.
 Group pairs pass a size filter and a count filter, both without loss, and are then
 expanded to their members, whose whole sets are verified. Shingles are told apart
 by 64-bit hashes.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .bytetext import Text, as_long, chunks, lists, mix, shingles
 from .components import WORDS as PARITY
 from .components import link_buckets, may_link
+from .names import fresh
 from .scratch import Scratch
 
 WORDS = 5
@@ -37,6 +39,8 @@ MANY = 16
 CELLS = 64 * PARITY
 #: Rows of three longs that are broadcast at most (some 80 MB) to pick texts in place; more are joined by a shuffle of the texts.
 BROADCAST_ROWS = 1_000_000
+#: The least size of a set that can link with an unequal one; a set of n at best shares n of n + 1.
+LINKABLE = next(n for n in range(1, 1000) if 100 * n >= SIMILARITY * (n + 1))
 #: The part of the hash space that is posted first: a quarter.
 LOW = np.uint64(1 << 62)
 
@@ -58,14 +62,17 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = found < LOW
             own = np.repeat(np.arange(len(counts)), counts)
             few = np.bincount(own[low], minlength=len(counts))
+            whole = _per_text(mix(found ^ np.uint64(1)), counts)
+            # without a low shingle there is no prefix to share: such sets are groups of their own
+            low_hash = np.where(few > 0, _per_text(mix(found[low] ^ np.uint64(3)), few), whole)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     part.column("text_hash"),
                     pa.array(counts.astype(np.int64)),
-                    pa.array(as_long(_per_text(mix(found ^ np.uint64(1)), counts))),
+                    pa.array(as_long(whole)),
                     pa.array(as_long(_per_text(mix(found ^ np.uint64(2)), counts))),
-                    pa.array(as_long(_per_text(mix(found[low] ^ np.uint64(3)), few))),
+                    pa.array(as_long(low_hash)),
                     lists(pa.array(as_long(found[low])), few),
                 ],
                 ["doc_id", "text_hash", "n", "set1", "set2", "low_hash", "low"],
@@ -139,8 +146,10 @@ def _joined(documents: DataFrame, scratch: Scratch) -> DataFrame:
     classes = signed.where("n > 0").groupBy("n", "set1", "set2").agg(*first_row)
     # from here on an id is a class; it is written, so it stays the same
     classes = scratch.keep("classes", classes.withColumn("id", F.monotonically_increasing_id()))
-    groups = scratch.keep("groups", classes.groupBy("n", "low_hash").agg(F.min("id").alias("leader"), F.count("*").alias("members")))
-    leaders = classes.select("id", "row", "n").join(groups.select(F.col("leader").alias("id")), "id", "left_semi")
+    # smaller sets link with equal ones alone, and these are one class
+    able = classes.where(F.col("n") >= LINKABLE)
+    groups = scratch.keep("groups", able.groupBy("n", "low_hash").agg(F.min("id").alias("leader"), F.count("*").alias("members")))
+    leaders = able.select("id", "row", "n").join(groups.select(F.col("leader").alias("id")), "id", "left_semi")
     posting = scratch.keep("posting", signed.select("row", "low").join(scratch.keep("leaders", leaders), "row").select("id", "n", "low"))
     scratch.release()
 
@@ -154,7 +163,7 @@ def _joined(documents: DataFrame, scratch: Scratch) -> DataFrame:
 
     # everything above it, of the members of groups whose rare low shingles do not fill a prefix
     open_groups = scratch.keep("open", sizes.where(F.col("rare") < _prefix(F.col("n"))).select("id", "n", "rare"))
-    member = classes.join(groups, ["n", "low_hash"]).select("id", "leader", "n", "members")
+    member = able.join(groups, ["n", "low_hash"]).select("id", "leader", "n", "members")
     member = scratch.keep("member", member)
     wide = scratch.keep("wide", member.join(open_groups.select(F.col("id").alias("leader"), "rare"), "leader").select("id", "leader", "n", "rare"))
     large = member.where("members > 1")
@@ -219,8 +228,9 @@ def _joined(documents: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _rows_of(documents: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """The documents that have (left_semi) or have not (left_anti) one of these doc_id, text_hash."""
-    named = rows.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"))
-    return documents.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_text")), how)
+    doc, text = fresh(documents, "doc"), fresh(documents, "text")
+    named = rows.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text))
+    return documents.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text)), how)
 
 
 def representatives(documents: DataFrame) -> DataFrame:
@@ -237,7 +247,8 @@ def singles(documents: DataFrame) -> DataFrame:
     """The documents, all columns as they were, with exactly one row of each component.
 
     The first by doc_id (null last) and a hash of the text stays; of rows that repeat
-    both, the smallest by all columns. Documents without words stay.
+    both, the smallest by all columns. Documents without words stay; an empty table
+    stays empty.
     """
     scratch = Scratch(documents.sparkSession, "singles")
     joined = scratch.keep("joined", _joined(documents, scratch).where("n > 0").groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("times")))
