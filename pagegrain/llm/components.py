@@ -57,10 +57,16 @@ def merged(scratch: Scratch, labels: DataFrame, links: DataFrame, name: str) ->
     return scratch.keep(f"{name}-merged", every.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label")))
 
 
-def parity(shingle: Column, word: int) -> Column:
-    """This shingle's bit in one of the WORDS parity words of its set, for bit_xor."""
-    place = F.shiftrightunsigned(shingle, 54)
-    return F.when(F.shiftright(place, 6) == word, F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
+def parities(members: DataFrame, key: str, member: str) -> DataFrame:
+    """id, the size n and the parity words g0, g1, ... of each set, from a row for each of its members.
+
+    A member touches the one word that its hash names; the words are turned to columns after.
+    """
+    place = F.shiftrightunsigned(F.col(member), 54)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    words = members.groupBy(F.col(key).alias("id"), F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_xor(bit).alias("bits"), F.count("*").alias("members"))
+    columns = [F.bit_xor(F.when(F.col("word") == w, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"g{w}") for w in range(WORDS)]
+    return words.groupBy("id").agg(F.sum("members").alias("n"), *columns)
 
 
 def may_link(similarity: int, a: str, b: str) -> Column:

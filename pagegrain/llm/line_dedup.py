@@ -15,7 +15,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import WORDS, link_buckets, may_link, parity
+from .components import link_buckets, parities
 from .names import fresh
 from .scratch import Scratch
 
@@ -89,11 +89,10 @@ def _components(scratch: Scratch, lines: DataFrame) -> DataFrame:
     # equal lines meet before the shuffle where they stand in one task
     texts = scratch.keep_bucketed("texts", lines.select("key", "line").join(picked, "key", "left_semi").dropDuplicates(["key"]), "key")
     scratch.release()
-    shingle = texts.select("key", _units("line").alias("units")).select("key", F.explode(_shingles("units")).alias("h"))
-    words = [F.bit_xor(parity(F.col("h"), w)).alias(f"g{w}") for w in range(WORDS)]
-    items = scratch.keep_bucketed("items", shingle.groupBy("key").agg(F.count("*").alias("n"), *words).withColumnRenamed("key", "id"), "id")
-    x, y = items.alias("x"), items.alias("y")
-    close = first.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(may_link(SIMILARITY, "x", "y")).select("a", "b")
+    # the sizes and parity words of lines in wide buckets; pairs that are alone in a bucket are verified at once
+    inside = members.select(F.col("id").alias("key")).distinct()
+    shingle = texts.join(inside, "key", "left_semi").select("key", _units("line").alias("units")).select("key", F.explode(_shingles("units")).alias("h"))
+    items = scratch.keep_bucketed("items", parities(shingle, "key", "h"), "id")
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("key").alias("a"), _units("line").alias("ua"))
@@ -102,7 +101,7 @@ def _components(scratch: Scratch, lines: DataFrame) -> DataFrame:
         shared = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
         return shared.where(100 * F.col("shared") >= SIMILARITY * (F.col("total") - F.col("shared")))
 
-    return link_buckets(scratch, scratch.keep("close", close), members, items, SIMILARITY, verify)
+    return link_buckets(scratch, first, members, items, SIMILARITY, verify)
 
 
 def dropped_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
