@@ -69,6 +69,12 @@ def explained(regions: DataFrame, boxes: DataFrame, cover: float = 0.5) -> DataF
     return regions.alias("r").join(boxes.alias("b"), hit, "left_semi")
 
 
+def residual(boxes: DataFrame, grids: DataFrame) -> DataFrame:
+    """Boxes whose centre no grid of their page holds."""
+    hit = (F.col("b.page") == F.col("g.page")) & geo.centre_in("b", "g")
+    return boxes.alias("b").join(grids.alias("g"), hit, "left_anti")
+
+
 def best_match(regions: DataFrame, boxes: DataFrame, least: float = 0.02) -> DataFrame:
     """The box with the largest iou of each region, the lowest pos on ties, if it is ``least`` or more."""
     hit = (F.col("b.page") == F.col("r.page")) & geo.meets("b", "r")

@@ -12,7 +12,7 @@ from ..functions import text as txt
 from ..operators import events as ev
 from ..operators import layout
 from ..sources.tables import BOXES, EVENTS, REGIONS, boxes, job_events, regions, table
-from . import catalog, pages, payloads, recognised, texts  # noqa: F401  (all but catalog register their queries)
+from . import catalog, listing, measures, pages, payloads, quality, recognised, texts  # noqa: F401  (all but catalog register their queries)
 from .catalog import query
 
 FLAGSHIP = "q_merge_primary"
@@ -113,27 +113,6 @@ def _emu(s, d):
     return boxes(s, d).select("page", "pos", geo.to_emu(F.col("x0"), 9525.5, 100.25).alias("left_emu"), F.greatest(F.lit(0), geo.to_emu(F.col("x1") - F.col("x0"), 9525.5, 0.0)).cast("long").alias("width_emu"))
 
 
-@query("q_slide_type", """WITH r AS (SELECT o_orderkey AS id, (20 + o_custkey % 50)::DOUBLE / (10 + o_orderkey % 40)::DOUBLE AS ratio FROM orders)
-  SELECT id, CASE WHEN least(abs(ratio - 4.0 / 3.0), abs(ratio - 1.6), abs(ratio - 16.0 / 9.0)) > 0.08 THEN 'custom' WHEN abs(ratio - 4.0 / 3.0) <= abs(ratio - 1.6) THEN '4:3' WHEN abs(ratio - 1.6) <= abs(ratio - 16.0 / 9.0) THEN '16:10' ELSE '16:9' END AS kind FROM r""")
-def _slide(s, d):
-    ratio = (20 + F.col("o_custkey") % 50).cast("double") / (10 + F.col("o_orderkey") % 40).cast("double")
-    away = [F.abs(ratio - F.lit(v)) for v in (4.0 / 3.0, 1.6, 16.0 / 9.0)]
-    kind = F.when(F.least(*away) > 0.08, "custom").when(away[0] <= away[1], "4:3").when(away[1] <= away[2], "16:10").otherwise("16:9")
-    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), kind.alias("kind"))
-
-
-@query("q_near_full_page", f"WITH {BOXES}, e AS (SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM boxes GROUP BY page) SELECT page, (x1 - x0) * (y1 - y0) >= 0.88 * 1000 * 720 AND x0 <= 15 AND y0 <= 10.8 AND x1 >= 985 AND y1 >= 709.2 AS full_page FROM e")
-def _full(s, d):
-    e = layout.envelope(boxes(s, d), "page")
-    return e.select("page", ((geo.area() >= 0.88 * 1000 * 720) & (F.col("x0") <= 15) & (F.col("y0") <= 10.8) & (F.col("x1") >= 985) & (F.col("y1") >= 709.2)).alias("full_page"))
-
-
-@query("q_suppress_box", f"WITH {REGIONS} SELECT region, greatest(0, x0 - least(greatest(0.02 * (x1 - x0), 0.8), 3.5))::DOUBLE AS x0, least(720, y1 + least(greatest(0.03 * (y1 - y0), 0.8), 3.0))::DOUBLE AS y1 FROM regions")
-def _suppress_box(s, d):
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    return regions(s, d).select("region", F.greatest(F.lit(0.0), F.col("x0") - geo.clamp(w * 0.02, 0.8, 3.5)).alias("x0"), F.least(F.lit(720.0), F.col("y1") + geo.clamp(h * 0.03, 0.8, 3.0)).alias("y1"))
-
-
 @query("q_colour", "SELECT o_orderkey AS id, '#' || lpad(lower(to_hex((o_orderkey * 7919) & 16777215)), 6, '0') AS colour, 2126 * (((o_orderkey * 7919) >> 16) & 255) + 7152 * (((o_orderkey * 7919) >> 8) & 255) + 722 * ((o_orderkey * 7919) & 255) AS luma FROM orders")
 def _colour(s, d):
     number = F.col("o_orderkey") * 7919
@@ -305,17 +284,6 @@ def _newest(s, d):
     return job_events(s, d).groupBy("job").agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("newest")).orderBy(F.desc("newest"), "job").limit(50)
 
 
-@query("q_expired", f"""WITH {EVENTS}, j AS (SELECT job, max(ts) AS last, bool_or(status = 'purchase') AS terminal FROM ev GROUP BY job), dirs AS (SELECT DISTINCT c_custkey AS dir FROM customer), n AS (SELECT max(ts) AS now FROM ev)
-  SELECT dir FROM dirs LEFT JOIN j ON dir = job CROSS JOIN n WHERE job IS NULL OR (terminal AND last + INTERVAL 1 DAY <= now)""")
-def _expired(s, d):
-    events = job_events(s, d)
-    jobs = events.groupBy("job").agg(F.max("ts").alias("last"), F.max(F.col("status") == "purchase").alias("terminal"))
-    now = events.agg(F.max("ts").alias("now")).first()["now"]
-    dirs = table(s, d, "customer").select(F.col("c_custkey").alias("dir")).distinct()
-    old = F.col("terminal") & (F.col("last") + F.expr("interval 1 day") <= F.lit(now).cast("timestamp_ntz"))
-    return dirs.join(jobs, F.col("dir") == F.col("job"), "left").where(F.col("job").isNull() | old).select("dir")
-
-
 @query("q_json_props", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, starts_with(props, '{') AS holds FROM events""")
 def _json(s, d):
     props = F.col("props")
