@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean
+from .text import clean, spaced
 
 #: A lifetime is this many seconds at least.
 LEAST_SECONDS = 60
@@ -97,7 +97,7 @@ def page_numbers(values: Column) -> Column:
 
 def signal(text: Column) -> Column:
     """A token of lower-case letters, digits and .+_- with single hyphens for everything else."""
-    out = F.regexp_replace(F.lower(F.coalesce(clean(text), F.lit(""))), r"[\s/]+", "-")
+    out = F.regexp_replace(F.lower(F.coalesce(clean(text), F.lit(""))), spaced(r"[\s/]+"), "-")
     out = F.regexp_replace(F.regexp_replace(out, "[^a-z0-9.+_-]+", "-"), "-{2,}", "-")
     return F.regexp_replace(out, "^-+|-+$", "")
 
@@ -114,6 +114,24 @@ def upload_kind(name: Column, content_type: Column, types: Sequence[str] = IMAGE
     return F.when(kind.isin(*types), "image").when(kind == "application/pdf", "pdf").when(suffix.isin(*suffixes), "image").when(suffix == "pdf", "pdf")
 
 
+#: Hosts that are this machine, and how names and addresses of private networks begin or end.
+LOCAL_HOSTS = ("localhost", "127.0.0.1", "0.0.0.0", "::1")
+PRIVATE = r"\.local$|^10\.|^192\.168\.|^172\.(1[6-9]|2[0-9]|3[01])(\.|$)"
+
+
+def host(url: Column) -> Column:
+    """The host of a URL in lower case, without user, port and brackets; empty if there is none."""
+    place = F.regexp_extract(F.lower(F.coalesce(clean(url), F.lit(""))), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
+    bare = F.regexp_replace(place, "^.*@", "")
+    return F.when(F.startswith(bare, F.lit("[")), F.regexp_extract(bare, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(bare, ":.*$", ""))
+
+
+def private_host(url: Column) -> Column:
+    """Whether a URL leads to this machine or a private network."""
+    name = host(url)
+    return name.isin(*LOCAL_HOSTS) | F.regexp_like(name, F.lit(PRIVATE))
+
+
 def inside(path: Column) -> Column:
     """Whether a relative path stays below its folder: it is not absolute and no part of it leads up."""
     return F.coalesce((path != "") & ~F.startswith(path, F.lit("/")) & ~F.array_contains(F.split(path, "/"), ".."), F.lit(False))

@@ -5,22 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The signs that count as white space, as the content of a character class.
+WHITE = r"\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def spaced(pattern: str) -> str:
+    """A pattern whose white-space classes mean Unicode's white space, not ASCII's."""
+    out, inside, at = "", False, 0
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        if two in (r"\s", r"\S"):
+            out += WHITE if inside else f"[{'^' if two[1] == 'S' else ''}{WHITE}]"
+        elif two[0] == "\\":
+            out += two
+        else:
+            inside = two[0] == "[" or (inside and two[0] != "]")
+            out += two[0]
+            two = two[0]
+        at += len(two)
+    return out
+
+
 #: The ranges that count as CJK.
 CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
 
 
 def clean(text: Column) -> Column:
     """Trimmed of white space; blank is null."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    trimmed = F.regexp_replace(text, spaced(spaced(r"^\s+|\s+$")), "")
     return F.when(trimmed != "", trimmed)
 
 
+def cleaned(text: Column) -> Column:
+    """Runs of white space as one blank, none at the ends; blank is null."""
+    line = squeezed(text)
+    return F.when(line != "", line)
+
+
 def has_cjk(text: Column) -> Column:
     return F.regexp_like(text, F.lit(CJK))
 
 
 def compact_length(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"\s", ""))
+    return F.length(F.regexp_replace(text, spaced(spaced(r"\s")), ""))
 
 
 def for_dedup(text: Column) -> Column:
@@ -30,12 +57,12 @@ def for_dedup(text: Column) -> Column:
 
 def label(text: Column, separator: str = "_") -> Column:
     """Lower case with one separator for each run of white space, - and _."""
-    return F.regexp_replace(F.lower(clean(text)), r"[\s_-]+", separator)
+    return F.regexp_replace(F.lower(clean(text)), spaced(spaced(r"[\s_-]+")), separator)
 
 
 def bearer(text: Column) -> Column:
     """Without a leading ``bearer `` of any case; blank is null."""
-    return clean(F.regexp_replace(clean(text), r"^(?i)bearer\s+", ""))
+    return clean(F.regexp_replace(clean(text), spaced(spaced(r"^(?i)bearer\s+")), ""))
 
 
 def similar(a: Column, b: Column, ratio: float = 0.65, least: int = 3) -> Column:
@@ -50,8 +77,8 @@ def token_estimate(text: Column, budget: int = 0, images: int = 0) -> Column:
 
 def markdown_line(line: Column) -> Column:
     """Without heading marks, list marks, links, code and bold marks."""
-    out = F.regexp_replace(line, r"^\s{0,3}#{1,6}\s+", "")
-    out = F.regexp_replace(out, r"^\s*[-*+]\s+", "")
+    out = F.regexp_replace(line, spaced(spaced(r"^\s{0,3}#{1,6}\s+")), "")
+    out = F.regexp_replace(out, spaced(spaced(r"^\s*[-*+]\s+")), "")
     out = F.regexp_replace(out, r"\[([^\]]*)\]\([^)]*\)", "$1")
     out = F.regexp_replace(out, "`", "")
     return F.trim(F.regexp_replace(out, r"\*\*", ""))
@@ -74,7 +101,7 @@ ECHO_OPENINGS = (
 
 def squeezed(text: Column) -> Column:
     """Runs of white space as one blank, none at the ends; null is empty."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), spaced(spaced(r"\s+")), " "))
 
 
 def prompt_echo(text: Column) -> Column:
@@ -83,12 +110,12 @@ def prompt_echo(text: Column) -> Column:
     opening = F.lit(False)
     for words in ECHO_OPENINGS:
         opening = opening | F.startswith(t, F.lit(words))
-    return t.isin(*ECHO_LABELS) | F.regexp_like(t, F.lit(r"^region[_\s-]?[0-9]{1,4}$")) | opening | (F.contains(t, F.lit("return line-level ocr")) & F.contains(t, F.lit("bbox")))
+    return t.isin(*ECHO_LABELS) | F.regexp_like(t, F.lit(spaced(r"^region[_\s-]?[0-9]{1,4}$"))) | opening | (F.contains(t, F.lit("return line-level ocr")) & F.contains(t, F.lit("bbox")))
 
 
 def gibberish(text: Column) -> Column:
     """Whether 64 or more characters are nearly all JSON delimiters, or repeat closing runs."""
-    packed = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", "")
+    packed = F.regexp_replace(F.coalesce(text, F.lit("")), spaced(spaced(r"\s")), "")
     n = F.length(packed)
     delimiters = F.regexp_count(packed, F.lit(r"[{}\[\],:]"))
     letters = F.regexp_count(packed, F.lit(r"[\p{L}\p{N}]"))
@@ -101,7 +128,7 @@ def short_token(text: Column) -> Column:
     raw = F.coalesce(clean(text), F.lit(""))
     n = compact_length(raw)
     cjk = F.regexp_count(raw, F.lit(r"[\x{4E00}-\x{9FFF}]"))
-    marks = F.regexp_count(raw, F.lit(r"[^\p{L}\p{N}\s]"))
+    marks = F.regexp_count(raw, F.lit(spaced(r"[^\p{L}\p{N}\s]")))
     latin = (F.regexp_count(raw, F.lit(r"\p{L}")) >= 2) & (marks <= 2)
     figures = F.regexp_count(raw, F.lit(r"\p{Nd}")) >= 2
     return (n > 0) & ((n <= 3) | ((n <= 12) & F.regexp_like(raw, F.lit("[()/]"))) | ((n <= 6) & (cjk == 0) & (latin | figures)))
@@ -116,7 +143,7 @@ def needs_space(before: Column, after: Column) -> Column:
 def render_lines(text: Column) -> Column:
     """Lines trimmed and blank ones gone, with any line end read as a line feed."""
     lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\n")
-    trimmed = F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    trimmed = F.transform(lines, lambda x: F.regexp_replace(x, spaced(spaced(r"^\s+|\s+$")), ""))
     return F.array_join(F.filter(trimmed, lambda x: x != ""), "\n")
 
 
@@ -167,10 +194,10 @@ def wrap_tokens(text: Column) -> Column:
     """Tokens that a line break may part: words and the blanks between them; where CJK stands or no blank does,
     runs of ASCII word characters, single other characters, and one blank for a run of white space."""
     words = F.filter(F.split(text, " "), lambda w: w != "")
-    spaced = F.flatten(F.transform(words, lambda w, i: F.when(i > 0, F.array(F.lit(" "), w)).otherwise(F.array(w))))
-    runs = F.regexp_extract_all(text, F.lit(r"(\s+|[A-Za-z0-9_\-./:+#%&@]+|\S)"), F.lit(1))
-    mixed = F.transform(runs, lambda r: F.when(F.regexp_like(r, F.lit(r"^\s")), " ").otherwise(r))
-    return F.when(~has_cjk(text) & F.contains(text, F.lit(" ")), spaced).otherwise(mixed)
+    parted = F.flatten(F.transform(words, lambda w, i: F.when(i > 0, F.array(F.lit(" "), w)).otherwise(F.array(w))))
+    runs = F.regexp_extract_all(text, F.lit(spaced(r"(\s+|[A-Za-z0-9_\-./:+#%&@]+|\S)")), F.lit(1))
+    mixed = F.transform(runs, lambda r: F.when(F.regexp_like(r, F.lit(spaced(r"^\s"))), " ").otherwise(r))
+    return F.when(~has_cjk(text) & F.contains(text, F.lit(" ")), parted).otherwise(mixed)
 
 
 def message_text(content: Column) -> Column:
@@ -192,16 +219,16 @@ def filled(template: Column, values: dict[str, Column]) -> Column:
 
     A template is cut at its names first, so a value that looks like one is not filled in again.
     """
-    parts = F.regexp_extract_all(template, F.lit(r"(\{\{\s*[a-zA-Z0-9_]+\s*\}\}|(?s:.+?)(?=\{\{\s*[a-zA-Z0-9_]+\s*\}\}|\z))"), F.lit(1))
+    parts = F.regexp_extract_all(template, F.lit(spaced(r"(\{\{\s*[a-zA-Z0-9_]+\s*\}\}|(?s:.+?)(?=\{\{\s*[a-zA-Z0-9_]+\s*\}\}|\z))")), F.lit(1))
 
     def fill(part: Column) -> Column:
-        name = F.regexp_extract(part, r"^\{\{\s*([a-zA-Z0-9_]+)\s*\}\}$", 1)
+        name = F.regexp_extract(part, spaced(spaced(r"^\{\{\s*([a-zA-Z0-9_]+)\s*\}\}$")), 1)
         out = part
         for key, value in values.items():
             out = F.when(name == key, F.coalesce(value, F.lit(""))).otherwise(out)
         return out
 
-    return F.regexp_replace(F.array_join(F.transform(parts, fill), ""), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.array_join(F.transform(parts, fill), ""), spaced(spaced(r"^\s+|\s+$")), "")
 
 
 #: The XML entities, the ampersand last.

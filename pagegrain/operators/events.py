@@ -24,6 +24,12 @@ def numbered(events: DataFrame, last: int) -> DataFrame:
     return out.where(F.col("_back") <= last).drop("_back")
 
 
+def logged(events: DataFrame, last: int, *fields: str) -> DataFrame:
+    """A log: an event that equals the one before in all fields is left out, the others get ``seq`` from 1, and
+    the last of them stay, 20 at least."""
+    return numbered(changes(events, *fields), max(20, last))
+
+
 def latest(events: DataFrame) -> DataFrame:
     """The last event of each job."""
     back = Window.partitionBy("job").orderBy(F.desc("ts"), F.desc("event_id"))
@@ -43,12 +49,31 @@ def until_terminal(events: DataFrame, terminal: str) -> DataFrame:
     return events.withColumn("_seen", seen).where("_seen = 0").drop("_seen")
 
 
-def rate(events: DataFrame, seconds: int, limit: int) -> DataFrame:
-    """``recent``: events of the job in the window that ends with this one, and whether they are within the limit."""
+def admissions(events: DataFrame, key: str, seconds: int, limit: int, budget: int) -> DataFrame:
+    """``admitted``: whether a request may go at once, by the requests admitted in the seconds before it.
+
+    A request counts with its ``tokens``, 1 at least and the budget at most; those that
+    were not admitted use up nothing. A key's requests depend on one another and are one fold.
+    """
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    span = Window.partitionBy("job").orderBy("_at").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    out = events.withColumn("_at", at).withColumn("recent", F.count("*").over(span))
-    return out.withColumn("admitted", F.col("recent") <= limit).drop("_at")
+    rows = events.select(F.col(key).alias("key"), "event_id", at.alias("at"), F.least(F.greatest(F.coalesce(F.col("tokens").cast("long"), F.lit(1)), F.lit(1)), F.lit(budget)).alias("tokens"))
+
+    def fold(frame):
+        import collections
+
+        frame = frame.sort_values(["at", "event_id"], kind="stable")
+        recent, used, out = collections.deque(), 0, []
+        for moment, tokens in zip(frame["at"], frame["tokens"], strict=True):
+            while recent and recent[0][0] < moment - seconds * 1_000_000:
+                used -= recent.popleft()[1]
+            fits = len(recent) < limit and used + tokens <= budget
+            if fits:
+                recent.append((moment, tokens))
+                used += tokens
+            out.append(fits)
+        return frame.assign(admitted=out)[["key", "event_id", "admitted"]]
+
+    return rows.groupBy("key").applyInPandas(fold, "key long, event_id long, admitted boolean")
 
 
 def breaker(events: DataFrame, failing: str, after: int) -> DataFrame:

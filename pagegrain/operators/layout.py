@@ -24,19 +24,31 @@ def layout_order(boxes: DataFrame, given: str) -> DataFrame:
     return boxes.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-def merge_primary(boxes: DataFrame, primary: Column, iou: float = 0.45, cover: float = 0.85) -> DataFrame:
-    """All primary boxes, and of the others those that match none of their page."""
-    first, rest = boxes.where(primary), boxes.where(~primary)
-    match = (F.col("s.page") == F.col("p.page")) & geo.meets("s", "p") & ((geo.iou("s", "p") >= iou) | (geo.cover("s", "p") >= cover))
-    return first.unionByName(rest.alias("s").join(first.alias("p"), match, "left_anti"))
-
+def merge_primary(boxes: DataFrame, primary: Column, width: int, iou: float = 0.45, cover: float = 0.85) -> DataFrame:
+    """All primary boxes, and of the others those that match none of their page.
 
-def merge_in_turn(boxes: DataFrame, source: str, ranking: Sequence[str]) -> DataFrame:
+    Boxes match by iou, by the share of the smaller one, or, where both have the size of
+    a line against the upper median of the page's primary heights, by the other's centre
+    lying in the primary box or 2 beside it.
+    """
+    first, rest = boxes.where(primary), boxes.where(~primary)
+    heights = first.select("page", F.greatest(F.lit(1), F.col("y1") - F.col("y0")).alias("h"))
+    ranked = heights.select("page", "h", F.row_number().over(Window.partitionBy("page").orderBy("h")).alias("at"), F.count("*").over(Window.partitionBy("page")).alias("n"))
+    median = ranked.where(F.col("at") == upper_median()).select("page", F.greatest(F.lit(4.0), F.col("h").cast("double")).alias("_line"))
+    sized = first.join(median, "page")
+    x, y = (F.col("s.x0") + F.col("s.x1")) / 2.0, (F.col("s.y0") + F.col("s.y1")) / 2.0
+    near = x.between(F.col("p.x0") - 2.0, F.col("p.x1") + 2.0) & y.between(F.col("p.y0") - 2.0, F.col("p.y1") + 2.0)
+    lines = (F.greatest(F.lit(1), F.col("p.y1") - F.col("p.y0")) <= 2.2 * F.col("p._line")) & (F.greatest(F.lit(1), F.col("p.x1") - F.col("p.x0")) <= 0.98 * width) & (F.greatest(F.lit(1), F.col("s.y1") - F.col("s.y0")) <= 2.6 * F.col("p._line"))
+    match = (F.col("s.page") == F.col("p.page")) & ((geo.iou("s", "p") >= iou) | (geo.cover("s", "p") >= cover) | (lines & near))
+    return first.unionByName(rest.alias("s").join(sized.alias("p"), match, "left_anti"))
+
+
+def merge_in_turn(boxes: DataFrame, source: str, ranking: Sequence[str], width: int) -> DataFrame:
     """Sources in order of preference: of each next one only the boxes that match nothing kept before."""
     kept = boxes.where(F.col(source) == ranking[0]).withColumn("_kept", F.lit(True))
     for name in ranking[1:]:
         rest = boxes.where(F.col(source) == name).withColumn("_kept", F.lit(False))
-        kept = merge_primary(kept.unionByName(rest), F.col("_kept")).withColumn("_kept", F.lit(True))
+        kept = merge_primary(kept.unionByName(rest), F.col("_kept"), width).withColumn("_kept", F.lit(True))
     return kept.drop("_kept")
 
 
@@ -75,12 +87,18 @@ def residual(boxes: DataFrame, grids: DataFrame) -> DataFrame:
     return boxes.alias("b").join(grids.alias("g"), hit, "left_anti")
 
 
-def best_match(regions: DataFrame, boxes: DataFrame, least: float = 0.02) -> DataFrame:
-    """The box with the largest iou of each region, the lowest pos on ties, if it is ``least`` or more."""
+def best_match(regions: DataFrame, boxes: DataFrame, iou: float = 0.52, cover: float = 0.72) -> DataFrame:
+    """Of each region the box that fits best: by the largest of iou and both covers, the lowest pos on ties.
+
+    A box counts from this iou, or this share of either area; areas are 1 at least.
+    """
     hit = (F.col("b.page") == F.col("r.page")) & geo.meets("b", "r")
-    scored = regions.alias("r").join(boxes.alias("b"), hit).select("r.page", "r.region", "b.pos", geo.iou("r", "b").alias("score"))
+    both = geo.overlap("r", "b")
+    shares = [geo.iou("r", "b"), both / F.greatest(F.lit(1), geo.area("r")), both / F.greatest(F.lit(1), geo.area("b"))]
+    found = regions.alias("r").join(boxes.alias("b"), hit).where((shares[0] >= iou) | (shares[1] >= cover) | (shares[2] >= cover))
+    scored = found.select("r.page", "r.region", "b.pos", F.greatest(*shares).alias("score"))
     best = scored.groupBy("page", "region").agg(F.max(F.struct("score", (-F.col("pos")).alias("back"))).alias("top"))
-    return best.where(F.col("top.score") >= least).select("page", "region", (-F.col("top.back")).alias("pos"), F.col("top.score").alias("score"))
+    return best.select("page", "region", (-F.col("top.back")).alias("pos"), F.col("top.score").alias("score"))
 
 
 def grid_cells(grids: DataFrame, boxes: DataFrame, rows: int, cols: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import spaced
+
 
 def true_median(rows: DataFrame, by: str, value: str) -> DataFrame:
     """The middle value, or the mean of the two middle ones."""
@@ -156,7 +158,7 @@ def structural_lines(words: DataFrame) -> DataFrame:
 
 def char_frequencies(texts: DataFrame, key: str) -> DataFrame:
     """Different characters of a text, white space aside, and how often the most frequent one occurs."""
-    each = texts.select(key, F.explode(F.split("text", "")).alias("c")).where(F.col("c").rlike(r"\S"))
+    each = texts.select(key, F.explode(F.split("text", "")).alias("c")).where(F.col("c").rlike(spaced(r"\S")))
     return each.groupBy(key, "c").agg(F.count("*").alias("n")).groupBy(key).agg(F.count("*").alias("different"), F.max("n").alias("most"))
 
 

@@ -19,7 +19,7 @@ LETTER, DIGIT = r"\p{L}", r"\p{Nd}"
 
 
 def _packed(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", "")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), txt.spaced(r"\s"), "")
 
 
 def _capital(text: Column) -> Column:

@@ -11,8 +11,6 @@ from .catalog import query
 
 #: SQL of two boxes' agreement, a kept and b new.
 INTER = "greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"
-AREAS = ("((a.x1 - a.x0) * (a.y1 - a.y0))", "((b.x1 - b.x0) * (b.y1 - b.y0))")
-MATCH = f"a.page = b.page AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 AND ({INTER} / greatest(1, {AREAS[0]} + {AREAS[1]} - {INTER}) >= 0.45 OR {INTER} / least({AREAS[0]}, {AREAS[1]}) >= 0.85)"
 
 
 @query("q_parse_box", f"""WITH {BOXES} SELECT page, pos, CASE WHEN pos % 8 < 6 THEN x0::DOUBLE END AS x0, CASE WHEN pos % 8 < 6 THEN y0::DOUBLE END AS y0, CASE WHEN pos % 8 < 6 THEN x1::DOUBLE END AS x1, CASE WHEN pos % 8 < 6 THEN y1::DOUBLE END AS y1 FROM boxes""")
@@ -75,12 +73,6 @@ def _padding(s, d):
     return boxes(s, d).select("page", "pos", shapes.erase_padding(height)[0].alias("pad_x"), shapes.erase_padding(height, fill=True)[1].alias("pad_y"), shapes.centred(F.col("x0"), F.col("x1"), 1000.0).alias("centred"))
 
 
-@query("q_merge_in_turn", f"""WITH {BOXES}, one AS (SELECT * FROM boxes WHERE provider = 'A'), two AS (SELECT * FROM one UNION ALL SELECT * FROM boxes b WHERE provider = 'N' AND NOT EXISTS (SELECT 1 FROM one a WHERE {MATCH})),
-  three AS (SELECT * FROM two UNION ALL SELECT * FROM boxes b WHERE provider = 'R' AND NOT EXISTS (SELECT 1 FROM two a WHERE {MATCH})) SELECT page, pos, provider FROM three""")
-def _in_turn(s, d):
-    return layout.merge_in_turn(boxes(s, d), "provider", ("A", "N", "R")).select("page", "pos", "provider")
-
-
 @query("q_y_lines", f"""WITH RECURSIVE {BOXES}, k AS (SELECT page, pos, (y0 + y1) / 2.0::DOUBLE AS c, row_number() OVER (PARTITION BY page ORDER BY (y0 + y1) / 2.0::DOUBLE, x0, pos) AS k FROM boxes),
   f AS (SELECT page, pos, k, c AS mean, 1.0::DOUBLE AS n, 0::BIGINT AS line FROM k WHERE k = 1 UNION ALL SELECT k.page, k.pos, k.k, CASE WHEN abs(k.c - f.mean) > 9 THEN k.c ELSE (f.mean * f.n + k.c) / (f.n + 1) END, CASE WHEN abs(k.c - f.mean) > 9 THEN 1 ELSE f.n + 1 END, f.line + (abs(k.c - f.mean) > 9)::BIGINT FROM f JOIN k ON k.page = f.page AND k.k = f.k + 1)
   SELECT page, pos, line FROM f""")
@@ -100,8 +92,8 @@ def _merge_boxes(s, d):
     return lines.merged(boxes(s, d), 4.0)
 
 
-@query("q_coarse_pruned", f"""WITH {BOXES}, k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y1 - y0, pos) AS k, count(*) OVER (PARTITION BY page) AS n FROM boxes), m AS (SELECT page, y1 - y0 AS m FROM k WHERE k = n // 2 + 1)
-  SELECT page, pos FROM boxes JOIN m USING (page) WHERE NOT (y1 - y0 >= greatest(3 * m, 0.14 * 100) AND x1 - x0 >= 0.2 * 200) AND NOT (x1 - x0 >= 0.9 * 200 AND y1 - y0 >= greatest(1.8 * m, 0.08 * 100))""")
+@query("q_coarse_pruned", f"""WITH {BOXES}, k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y1 - y0, pos) AS k, count(*) OVER (PARTITION BY page) AS n FROM boxes), m AS (SELECT *, max(CASE WHEN k = n // 2 + 1 THEN y1 - y0 END) OVER (PARTITION BY page) AS m FROM k)
+  SELECT page, pos FROM m WHERE NOT (y1 - y0 >= greatest(3 * m, 0.14 * 100) AND x1 - x0 >= 0.2 * 200) AND NOT (x1 - x0 >= 0.9 * 200 AND y1 - y0 >= greatest(1.8 * m, 0.08 * 100))""")
 def _coarse(s, d):
     return lines.coarse_pruned(boxes(s, d), 200, 100).select("page", "pos")
 

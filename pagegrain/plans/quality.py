@@ -124,14 +124,14 @@ def _structural(s, d):
     return quality.structural_lines(_words(s, d))
 
 
-@query("q_char_frequency", r"WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents), n AS (SELECT doc_id, c, count(*) AS n FROM c WHERE NOT regexp_matches(c, '^[\x09-\x0D ]$') AND c <> '' GROUP BY ALL) SELECT doc_id, count(*) AS different, max(n) AS most FROM n GROUP BY doc_id")
+@query("q_char_frequency", r"WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents), n AS (SELECT doc_id, c, count(*) AS n FROM c WHERE NOT regexp_matches(c, '^\s$') AND c <> '' GROUP BY ALL) SELECT doc_id, count(*) AS different, max(n) AS most FROM n GROUP BY doc_id")
 def _chars(s, d):
     return quality.char_frequencies(table(s, d, "documents"), "doc_id")
 
 
 @query("q_text_colours", f"""WITH {BOXES}, c AS (SELECT page, pos, confidence AS contrast, x0 AS distance, y0 % 256 AS luma, page * 7 % 256 AS ground FROM boxes), k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY contrast DESC, distance DESC, pos) AS place, count(*) OVER (PARTITION BY page) AS n FROM c),
-  t AS (SELECT *, CASE WHEN ground >= 128 THEN luma <= ground - 6 ELSE luma >= ground + 6 END AS off FROM k WHERE place <= CASE WHEN n >= 12 THEN greatest(6, least(96, n // 4)) ELSE n END), u AS (SELECT *, bool_or(off) OVER (PARTITION BY page) AS some FROM t),
-  r AS (SELECT page, pos, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN ground >= 128 THEN luma ELSE -luma END, place) AS rank FROM u WHERE off OR NOT some) SELECT page, pos, rank FROM r WHERE rank <= 24""")
+  t AS (SELECT *, CASE WHEN ground >= 128 THEN luma <= ground - 6 ELSE luma >= ground + 6 END AS off FROM k WHERE place <= CASE WHEN n >= 12 THEN greatest(6, least(96, n // 4)) ELSE n END), u AS (SELECT *, bool_or(off) OVER (PARTITION BY page) AS any_off FROM t),
+  r AS (SELECT page, pos, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN ground >= 128 THEN luma ELSE -luma END, place) AS rank FROM u WHERE off OR NOT any_off) SELECT page, pos, rank FROM r WHERE rank <= 24""")
 def _colours(s, d):
     samples = boxes(s, d).select("page", "pos", F.col("confidence").alias("contrast"), F.col("x0").alias("distance"), (F.col("y0") % 256).alias("luma"), (F.col("page") * 7 % 256).alias("ground"))
     return quality.text_colours(samples, "ground")

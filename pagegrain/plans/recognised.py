@@ -62,11 +62,11 @@ def _several(s, d):
     return _items(s, d).select("page", "pos", recognised.spans_lines(F.col("text"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), 400, 200, median).alias("several"))
 
 
-@query("q_wide_flat_pages", f"""WITH {BOXES}, b AS (SELECT page, provider, 350 + 4 * (x1 - x0) AS w, y1 - y0 AS h, y0 % 150 AS y0, y0 % 150 + y1 - y0 AS y1 FROM boxes WHERE pos % 20 = 7)
+@query("q_wide_flat_pages", f"""WITH {BOXES}, b AS (SELECT page * 20 + pos % 20 AS page, provider, 350 + 4 * (x1 - x0) AS w, y1 - y0 AS h, y0 % 150 AS y0, y0 % 150 + y1 - y0 AS y1 FROM boxes)
   SELECT page FROM b WHERE provider = 'R' GROUP BY page HAVING count(*) <= 3 AND bool_and(w >= 7 * h) AND max(y1) - min(y0) <= 0.28 * 720 AND max(w) >= 650""")
 def _flat(s, d):
     label = F.expr("case provider when 'R' then 'paragraph title' when 'A' then 'Page-Footer' else 'screen shot figure' end")
-    blocks = boxes(s, d).where("pos % 20 = 7").selectExpr("page", "provider", "0 as x0", "350 + 4 * (x1 - x0) as x1", "y0 % 150 as y0", "y0 % 150 + y1 - y0 as y1")
+    blocks = boxes(s, d).selectExpr("page * 20 + pos % 20 as page", "provider", "0 as x0", "350 + 4 * (x1 - x0) as x1", "y0 % 150 as y0", "y0 % 150 + y1 - y0 as y1")
     return recognised.wide_flat_pages(blocks.withColumn("label", label), 1000, 720)
 
 

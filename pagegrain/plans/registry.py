@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from ..functions import scalars
 from ..functions import text as txt
 from ..operators import events as ev
 from ..operators import layout
+from ..operators import listing as listing_ops
 from ..sources.tables import BOXES, EVENTS, REGIONS, boxes, job_events, regions, table
 from . import catalog, listing, measures, pages, payloads, quality, recognised, texts  # noqa: F401  (all but catalog register their queries)
 from .catalog import query
@@ -35,11 +37,23 @@ def oracle_sql() -> dict[str, str]:
 # joins of boxes (JOIN, GEO17-19)
 
 
-@query("q_merge_primary", f"""WITH {BOXES}, kept AS (SELECT * FROM boxes WHERE provider = 'A' UNION ALL SELECT * FROM boxes b WHERE provider <> 'A' AND NOT EXISTS (
-  SELECT 1 FROM boxes a WHERE a.provider = 'A' AND {MEET} AND ({INTER} / greatest(1, {AREA_A} + {AREA_B} - {INTER}) >= 0.45 OR {INTER} / least({AREA_A}, {AREA_B}) >= 0.85)))
+def merged_sql(first: str, rest: str, out: str, width: int) -> str:
+    """Common table expressions of the primary rows and of the others that match none of them."""
+    lines = f"greatest(1, a.y1 - a.y0) <= 2.2::DOUBLE * m AND greatest(1, a.x1 - a.x0) <= 0.98::DOUBLE * {width} AND greatest(1, b.y1 - b.y0) <= 2.6::DOUBLE * m"
+    near = "(b.x0 + b.x1) / 2 BETWEEN a.x0 - 2 AND a.x1 + 2 AND (b.y0 + b.y1) / 2 BETWEEN a.y0 - 2 AND a.y1 + 2"
+    return f"""{out}_line AS (SELECT page, greatest(4.0::DOUBLE, list_sort(list(greatest(1, y1 - y0)))[count(*) // 2 + 1]) AS m FROM {first} GROUP BY page), {out} AS (SELECT * FROM {first} UNION ALL SELECT * FROM ({rest}) b WHERE NOT EXISTS (
+  SELECT 1 FROM {first} a JOIN {out}_line l ON a.page = l.page WHERE a.page = b.page AND ({INTER} / greatest(1, {AREA_A} + {AREA_B} - {INTER}) >= 0.45 OR {INTER} / least({AREA_A}, {AREA_B}) >= 0.85 OR ({lines} AND {near}))))"""
+
+
+@query("q_merge_primary", f"""WITH {BOXES}, prime AS (SELECT * FROM boxes WHERE provider = 'A'), {merged_sql("prime", "SELECT * FROM boxes WHERE provider <> 'A'", "kept", 960)}
   SELECT page, pos, x0, y0, x1, y1, row_number() OVER (PARTITION BY page ORDER BY y0 + y1, x0, pos) AS rank FROM kept""")
 def _merge(s, d):
-    return layout.reading_order(layout.merge_primary(boxes(s, d), F.col("provider") == "A")).select(*layout.BOX, "rank")
+    return layout.reading_order(layout.merge_primary(boxes(s, d), F.col("provider") == "A", 960)).select(*layout.BOX, "rank")
+
+
+@query("q_merge_in_turn", f"""WITH {BOXES}, prime AS (SELECT * FROM boxes WHERE provider = 'A'), {merged_sql("prime", "SELECT * FROM boxes WHERE provider = 'N'", "two", 960)}, {merged_sql("two", "SELECT * FROM boxes WHERE provider = 'R'", "three", 960)} SELECT page, pos, provider FROM three""")
+def _in_turn(s, d):
+    return layout.merge_in_turn(boxes(s, d), "provider", ("A", "N", "R"), 960).select("page", "pos", "provider")
 
 
 @query("q_box_pairs", f"""WITH {BOXES}, p AS (SELECT a.page, a.pos AS a, b.pos AS b, {INTER} AS inter, {INTER} / greatest(1, {AREA_A} + {AREA_B} - {INTER}) AS iou, {INTER} / least({AREA_A}, {AREA_B}) AS cover FROM boxes a JOIN boxes b ON {MEET} AND a.pos < b.pos)
@@ -64,8 +78,8 @@ def _exists(s, d):
     return layout.explained(regions(s, d), boxes(s, d))
 
 
-@query("q_best_match", f"""WITH {BOXES}, {REGIONS}, p AS (SELECT a.page, a.region, b.pos, {INTER} / greatest(1, {AREA_A} + {AREA_B} - {INTER}) AS score FROM regions a JOIN boxes b ON {MEET})
-  SELECT page, region, pos, score FROM (SELECT *, row_number() OVER (PARTITION BY page, region ORDER BY score DESC, pos) AS k FROM p) WHERE k = 1 AND score >= 0.02""")
+@query("q_best_match", f"""WITH {BOXES}, {REGIONS}, p AS (SELECT a.page, a.region, b.pos, {INTER} / greatest(1, {AREA_A} + {AREA_B} - {INTER}) AS iou, {INTER} / greatest(1, {AREA_A}) AS own, {INTER} / greatest(1, {AREA_B}) AS other FROM regions a JOIN boxes b ON {MEET})
+  SELECT page, region, pos, score FROM (SELECT *, greatest(iou, own, other) AS score, row_number() OVER (PARTITION BY page, region ORDER BY greatest(iou, own, other) DESC, pos) AS k FROM p WHERE iou >= 0.52 OR own >= 0.72 OR other >= 0.72) WHERE k = 1""")
 def _best(s, d):
     return layout.best_match(regions(s, d), boxes(s, d))
 
@@ -76,24 +90,25 @@ def _grid(s, d):
     return layout.grid_cells(regions(s, d), boxes(s, d), 3, 4)
 
 
-@query("q_page_sizes", f"""WITH {BOXES}, {REGIONS}, sizes AS (SELECT page, max(x1) AS width, max(y1) AS height FROM regions WHERE page % 3 <> 0 GROUP BY page)
+@query("q_page_sizes", f"""WITH {BOXES}, {REGIONS}, sizes AS (SELECT page, max(x1) FILTER (region % 3 = 0) AS width, max(y1) AS height FROM regions GROUP BY page)
   SELECT b.page, count(*) AS n, CAST(coalesce(max(s.width), 960) AS BIGINT) AS width, CAST(coalesce(max(s.height), 540) AS BIGINT) AS height FROM boxes b LEFT JOIN sizes s ON b.page + 1 = s.page WHERE b.page >= 1 GROUP BY b.page""")
 def _page_sizes(s, d):
-    sizes = regions(s, d).where("page % 3 <> 0").groupBy("page").agg(F.max("x1").alias("width"), F.max("y1").alias("height"))
+    sizes = regions(s, d).groupBy("page").agg(F.max(F.when(F.col("region") % 3 == 0, F.col("x1"))).alias("width"), F.max("y1").alias("height"))
     shifted = sizes.select((F.col("page") - 1).alias("page"), "width", "height")
     joined = boxes(s, d).where("page >= 1").groupBy("page").agg(F.count("*").alias("n")).join(shifted, "page", "left")
     return joined.select("page", "n", F.coalesce("width", F.lit(960)).cast("long").alias("width"), F.coalesce("height", F.lit(540)).cast("long").alias("height"))
 
 
-@query("q_page_diff", f"""WITH {BOXES}, l AS (SELECT page, CAST(sum(x0) AS BIGINT) AS before FROM boxes WHERE page % 7 <> 0 AND provider = 'A' GROUP BY page), r AS (SELECT page, CAST(sum(CASE WHEN page % 5 = 0 THEN x0 + 1 ELSE x0 END) AS BIGINT) AS after FROM boxes WHERE page % 11 <> 0 AND provider = 'A' GROUP BY page)
+@query("q_page_diff", f"""WITH {BOXES}, l AS (SELECT page, CAST(sum(x0) AS BIGINT) AS before FROM boxes GROUP BY page), r AS (SELECT CASE WHEN page % 11 = 0 THEN -1 - page ELSE page END AS page, CAST(sum(CASE WHEN page % 5 = 0 THEN x0 + 1 ELSE x0 END) AS BIGINT) AS after FROM boxes GROUP BY 1)
   SELECT coalesce(l.page, r.page) AS page, before, after FROM l FULL JOIN r ON l.page = r.page WHERE before IS DISTINCT FROM after""")
 def _diff(s, d):
-    own = boxes(s, d).where("provider = 'A'")
-    left = own.where("page % 7 <> 0").groupBy("page").agg(F.sum("x0"))
-    right = own.where("page % 11 <> 0").groupBy("page").agg(F.sum(F.when(F.col("page") % 5 == 0, F.col("x0") + 1).otherwise(F.col("x0"))))
+    left = boxes(s, d).groupBy("page").agg(F.sum("x0"))
+    moved = F.when(F.col("page") % 11 == 0, -1 - F.col("page")).otherwise(F.col("page"))
+    right = boxes(s, d).withColumn("x0", F.when(F.col("page") % 5 == 0, F.col("x0") + 1).otherwise(F.col("x0"))).groupBy(moved.alias("page")).agg(F.sum("x0"))
     return layout.page_diff(left, right)
 
 
+
 # geometry projections (GEO)
 
 
@@ -134,11 +149,10 @@ def _layout_order(s, d):
     return layout.layout_order(boxes(s, d).withColumn("given", given), "given").select("page", "pos", "rank")
 
 
-@query("q_first_regions", f"WITH {REGIONS} SELECT page, region FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY region) AS k FROM regions WHERE x1 - x0 >= 24 AND y0 % 5 <> 0) WHERE k <= 12")
+@query("q_first_regions", f"WITH {REGIONS} SELECT page, region FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY region) AS k FROM regions WHERE region * 7 % 60 >= 24) WHERE k <= 12")
 def _first_regions(s, d):
-    valid = regions(s, d).where("x1 - x0 >= 24 and y0 % 5 <> 0")
-    numbered = valid.selectExpr("page", "region", "row_number() over (partition by page order by region) as k")
-    return numbered.where("k <= 12").select("page", "region")
+    sized = regions(s, d).withColumn("x1", F.col("x0") + F.col("region") * 7 % 60)
+    return listing_ops.numbered(sized.where("x1 - x0 >= 24"), "page", "region").where("number < 12").select("page", "region")
 
 
 @query("q_exact_dedup", f"WITH {BOXES} SELECT page, pos, confidence, provider FROM (SELECT *, row_number() OVER (PARTITION BY page, confidence, provider ORDER BY pos) AS k FROM boxes) WHERE k = 1")
@@ -228,11 +242,29 @@ def _classes(s, d):
     return table(s, d, "documents").select("doc_id", *(F.length(F.regexp_replace("text", p, "")).cast("long").alias(n) for n, p in (("letters", "[^A-Za-z]"), ("digits", "[^0-9]"), ("marks", "[^.,;:!?]"))))
 
 
-@query("q_hosts", "SELECT page_id, regexp_extract(lower(url), '^[a-z]+://([^/:]+)', 1) AS host, regexp_matches(lower(url), '^[a-z]+://(localhost|127\\.|10\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)') AS private FROM pages")
+URLS = ["http://localhost:8000/v1", "https://localhost.example.org/", "http://0.0.0.0", "http://[::1]:80/x", "https://nas.local/a", "http://user@10.1.2.3/", "http://10.example.com:", "https://172.16.0.1", "https://172.32.0.1", "http://172.x.1", "http://192.168.1.1:11434/v1", "127.0.0.1", None, "", "https://api.example.com/10.1"]
+
+
+@query("q_hosts", f"""WITH u AS (SELECT page_id AS id, url FROM pages UNION ALL SELECT -i, [{", ".join("NULL" if u is None else f"'{u}'" for u in URLS)}][i] FROM range(1, {len(URLS) + 1}) t(i)),
+  p AS (SELECT id, regexp_replace(regexp_extract(lower(coalesce(trim(url), '')), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', '') AS p FROM u), h AS (SELECT id, CASE WHEN starts_with(p, '[') THEN regexp_extract(p, '^\\[([^\\]]*)\\]', 1) ELSE split_part(p, ':', 1) END AS host FROM p)
+  SELECT id, host, host IN ('localhost', '127.0.0.1', '0.0.0.0', '::1') OR host LIKE '%.local' OR host LIKE '10.%' OR host LIKE '192.168.%' OR (host LIKE '172.%' AND coalesce(TRY_CAST(split_part(host, '.', 2) AS INT), -1) BETWEEN 16 AND 31) AS private FROM h""")
 def _hosts(s, d):
-    url = F.lower("url")
-    private = F.regexp_like(url, F.lit(r"^[a-z]+://(localhost|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"))
-    return table(s, d, "pages").select("page_id", F.regexp_extract(url, r"^[a-z]+://([^/:]+)", 1).alias("host"), private.alias("private"))
+    extra = s.createDataFrame([(-i, u) for i, u in enumerate(URLS, 1)], "id long, url string")
+    rows = table(s, d, "pages").select(F.col("page_id").alias("id"), "url").unionByName(extra)
+    return rows.select("id", scalars.host(F.col("url")).alias("host"), scalars.private_host(F.col("url")).alias("private"))
+
+
+TEXTS = ["\u3000a\u00a0 b\u3000", "\u3000", "", None, "x\u2003y", "\u0085z\t", "A-b C", "ab c", "中\u3000文 1"]
+
+
+@query("q_clean_texts", "WITH t AS (SELECT i AS id, [" + ", ".join("NULL" if t is None else f"'{t}'" for t in TEXTS) + f"""][i] AS t FROM range(1, {len(TEXTS) + 1}) r(i)), c AS (SELECT *, lower(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS d FROM t)
+  SELECT id, nullif(regexp_replace(t, '^\\s+|\\s+$', '', 'g'), '') AS clean, nullif(trim(regexp_replace(t, '\\s+', ' ', 'g')), '') AS cleaned, length(regexp_replace(t, '\\s', '', 'g')) AS compact, d AS deduped,
+  d = 'abc' OR ((contains(d, 'abc') OR contains('abc', d)) AND least(length(d), 3) >= 3 AND least(length(d), 3) >= 0.65 * greatest(length(d), 3)) AS alike FROM c""")
+def _clean_texts(s, d):
+    rows = s.createDataFrame(list(enumerate(TEXTS, 1)), "id long, t string")
+    t = F.col("t")
+    return rows.select("id", txt.clean(t).alias("clean"), txt.cleaned(t).alias("cleaned"), txt.compact_length(t).cast("long").alias("compact"), txt.for_dedup(t).alias("deduped"), txt.similar(txt.for_dedup(t), F.lit("abc")).alias("alike"))
+
 
 
 # job events (WIN21-23, STRM, AGG18-19, SORT05, JOIN13-14)
@@ -243,9 +275,10 @@ def _changes(s, d):
     return ev.changes(job_events(s, d), "status").select("job", "event_id", "status")
 
 
-@query("q_event_log", f"WITH {EVENTS} SELECT job, event_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts, event_id) AS seq, row_number() OVER (PARTITION BY job ORDER BY ts DESC, event_id DESC) AS back FROM ev) WHERE back <= 20")
+@query("q_event_log", f"WITH {EVENTS}, f AS (SELECT *, event_id % 2 AS level, lag(status) OVER w AS s, lag(progress) OVER w AS p, lag(event_id % 2) OVER w AS l, lag(event_id) OVER w AS one FROM ev WINDOW w AS (PARTITION BY job ORDER BY ts, event_id)), k AS (SELECT * FROM f WHERE one IS NULL OR status IS DISTINCT FROM s OR level IS DISTINCT FROM l OR (progress // 50) IS DISTINCT FROM (p // 50)) SELECT job, event_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts, event_id) AS seq, row_number() OVER (PARTITION BY job ORDER BY ts DESC, event_id DESC) AS back FROM k) WHERE back <= 20")
 def _log(s, d):
-    return ev.numbered(job_events(s, d), 20).select("job", "event_id", "seq")
+    events = job_events(s, d).withColumns({"level": F.col("event_id") % 2, "half": F.expr("progress div 50")})
+    return ev.logged(events, 5, "status", "level", "half").select("job", "event_id", "seq")
 
 
 @query("q_latest", f"WITH {EVENTS} SELECT job, event_id, status, progress FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts DESC, event_id DESC) AS k FROM ev) WHERE k = 1")
@@ -263,9 +296,13 @@ def _terminal(s, d):
     return ev.until_terminal(job_events(s, d), "purchase").select("job", "event_id")
 
 
-@query("q_rate", f"WITH {EVENTS} SELECT job, event_id, recent, recent <= 2 AS admitted FROM (SELECT *, count(*) OVER (PARTITION BY job ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent FROM ev)")
+@query("q_rate", f"""WITH RECURSIVE {EVENTS}, o AS (SELECT job, event_id, epoch_us(ts) AS t, least(1 + event_id % 40, 60) AS n, row_number() OVER (PARTITION BY job ORDER BY ts, event_id) AS place FROM ev),
+  r(job, place, event_id, kept, admitted) AS (SELECT DISTINCT job, 0::BIGINT, 0::BIGINT, CAST([] AS STRUCT(t BIGINT, n BIGINT)[]), false FROM o
+    UNION ALL SELECT job, place, event_id, CASE WHEN fits THEN list_append(recent, {{'t': t, 'n': n}}) ELSE recent END, fits FROM (SELECT *, len(recent) < 3 AND coalesce(list_sum(list_transform(recent, lambda x: x.n)), 0) + n <= 60 AS fits FROM
+      (SELECT o.job, o.place, o.event_id, o.t, o.n, list_filter(r.kept, lambda x: x.t >= o.t - 172800000000) AS recent FROM r JOIN o ON o.job = r.job AND o.place = r.place + 1)))
+  SELECT job AS key, event_id, admitted FROM r WHERE place > 0""")
 def _rate(s, d):
-    return ev.rate(job_events(s, d), 86_400, 2).select("job", "event_id", "recent", "admitted")
+    return ev.admissions(job_events(s, d).withColumn("tokens", 1 + F.col("event_id") % 40), "job", 172_800, 3, 60)
 
 
 @query("q_breaker", f"""WITH {EVENTS}, g AS (SELECT *, sum((status <> 'click')::INT) OVER (PARTITION BY job ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS grp FROM ev)
