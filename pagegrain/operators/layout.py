@@ -24,6 +24,17 @@ def layout_order(boxes: DataFrame, given: str) -> DataFrame:
     return boxes.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
+def top_left(boxes: DataFrame) -> DataFrame:
+    """``rank`` from 1 by y0, then x0, then pos."""
+    order = Window.partitionBy("page").orderBy("y0", "x0", "pos")
+    return boxes.withColumn("rank", F.row_number().over(order).cast("long"))
+
+
+def of_kind(elements: DataFrame, column: str, kind: str) -> DataFrame:
+    """The elements of a type, source or provider; null is none."""
+    return elements.where(F.col(column) == kind)
+
+
 def merge_primary(boxes: DataFrame, primary: Column, width: int, iou: float = 0.45, cover: float = 0.85) -> DataFrame:
     """All primary boxes, and of the others those that match none of their page.
 
@@ -132,15 +143,22 @@ def nearest_rank(p: float) -> Column:
 
 
 def weighted_quantile(boxes: DataFrame, page_width: int, share: float = 0.6, low: int = 6, high: int = 48) -> DataFrame:
-    """The first height at which the squared widths reach this share of their sum; many boxes count by the widest quarter."""
-    wide = Window.partitionBy("page").orderBy(F.desc("w"), "h", "pos")
+    """The first height at which the squared widths reach this share of their sum; of over 24 boxes the widest quarter counts.
+
+    Heights outside 4.5 to 96 do not count, a width counts up to the page's and with a ten-thousandth at least
+    of its square; a page without a box that counts has 12.
+    """
+    wide = Window.partitionBy("page").orderBy(F.desc("w"), "pos")
     sized = boxes.select("page", "pos", (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
+    sized = sized.where((F.col("w") > 0) & F.col("h").between(4.5, 96.0))
     sized = sized.withColumns({"n": F.count("*").over(Window.partitionBy("page")), "at": F.row_number().over(wide)})
     kept = sized.where((F.col("n") <= 24) | (F.col("at") <= F.greatest(F.lit(12), F.bround(F.col("n") * 0.25))))
-    weighed = kept.withColumn("weight", F.least(F.lit(page_width), "w") * F.least(F.lit(page_width), "w"))
+    width = F.least(F.lit(page_width), "w")
+    weighed = kept.withColumn("weight", F.greatest(F.lit(page_width * page_width // 10_000), width * width))
     running = Window.partitionBy("page").orderBy("h", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = weighed.withColumns({"upto": F.sum("weight").over(running), "total": F.sum("weight").over(Window.partitionBy("page"))})
-    return summed.where(F.col("upto") >= share * F.col("total")).groupBy("page").agg(geo.clamp(F.min("h"), low, high).alias("size"))
+    found = summed.where(F.col("upto") >= share * F.col("total")).groupBy("page").agg(geo.clamp(F.min("h").cast("double"), float(low), float(high)).alias("size"))
+    return boxes.select("page").distinct().join(found, "page", "left").withColumn("size", F.coalesce("size", F.lit(12.0)))
 
 
 def x_segments(boxes: DataFrame, gap: int) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import events as ev
 from ..operators import layout
 from ..operators import listing as listing_ops
 from ..sources.tables import BOXES, EVENTS, REGIONS, boxes, job_events, regions, table
-from . import catalog, listing, measures, pages, payloads, quality, recognised, texts  # noqa: F401  (all but catalog register their queries)
+from . import catalog, listing, measures, pages, payloads, quality, recognised, records, texts  # noqa: F401  (all but catalog register their queries)
 from .catalog import query
 
 FLAGSHIP = "q_merge_primary"
@@ -185,12 +185,13 @@ def _rank(s, d):
     return layout.ordered_value(["page"], "h", layout.nearest_rank(0.9), "p90", boxes(s, d).withColumn("h", F.col("y1") - F.col("y0")))
 
 
-@query("q_weighted_quantile", f"""WITH {BOXES}, s AS (SELECT page, pos, x1 - x0 AS w, y1 - y0 AS h, count(*) OVER (PARTITION BY page) AS n, row_number() OVER (PARTITION BY page ORDER BY x1 - x0 DESC, y1 - y0, pos) AS k FROM boxes),
-  t AS (SELECT page, h, pos, least(1000, w) * least(1000, w) AS weight FROM s WHERE n <= 24 OR k <= greatest(12, round_even(n * 0.25::DOUBLE, 0))),
-  u AS (SELECT page, h, sum(weight) OVER (PARTITION BY page ORDER BY h, pos ROWS UNBOUNDED PRECEDING) AS upto, sum(weight) OVER (PARTITION BY page) AS total FROM t)
-  SELECT page, least(greatest(min(h), 6), 48) AS size FROM u WHERE upto >= 0.6::DOUBLE * total GROUP BY page""")
+@query("q_weighted_quantile", f"""WITH {BOXES}, b AS (SELECT page, pos, x1 - x0 AS w, 2 * (y1 - y0) + CASE WHEN page % 4 = 1 THEN 90 ELSE -20 END AS h FROM boxes), s AS (SELECT *, count(*) OVER (PARTITION BY page) AS n, row_number() OVER (PARTITION BY page ORDER BY w DESC, pos) AS k FROM b WHERE w > 0 AND h BETWEEN 4.5 AND 96),
+  t AS (SELECT page, h, pos, greatest(least(300, w) * least(300, w), 9) AS weight FROM s WHERE n <= 24 OR k <= greatest(12, round_even(n * 0.25::DOUBLE, 0))),
+  u AS (SELECT page, h, sum(weight) OVER (PARTITION BY page ORDER BY h, pos ROWS UNBOUNDED PRECEDING) AS upto, sum(weight) OVER (PARTITION BY page) AS total FROM t), f AS (SELECT page, least(greatest(min(h)::DOUBLE, 6), 48) AS size FROM u WHERE upto >= 0.6::DOUBLE * total GROUP BY page)
+  SELECT p.page, coalesce(size, 12) AS size FROM (SELECT DISTINCT page FROM boxes) p LEFT JOIN f ON p.page = f.page""")
 def _weighted(s, d):
-    return layout.weighted_quantile(boxes(s, d), 1000)
+    tall = F.when(F.col("page") % 4 == 1, 90).otherwise(-20)
+    return layout.weighted_quantile(boxes(s, d).withColumn("y1", F.col("y0") + 2 * (F.col("y1") - F.col("y0")) + tall), 300)
 
 
 @query("q_union_box", f"WITH {BOXES} SELECT page, provider, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM boxes GROUP BY page, provider")
