@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a local one, in local mode alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="pagegrain-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
