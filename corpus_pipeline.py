@@ -1,7 +1,9 @@
 """A training-data pipeline of five stages over ``documents``.
 
 Each stage works on all that its predecessor kept; ``run`` writes each stage's rows
-as Parquet in the shared folder and reads them again for the next.
+as Parquet in the shared folder and reads them again for the next. Null and letterless
+texts go in the first stage; an empty table stays empty; extra columns stay up to the
+last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", pack),
 ]
 
-#: Models, hashes and tokens have no SQL; op1 and op3 are tested against all pairs, the pipeline as a whole is not.
+#: Models, hashes and tokens have no SQL; tests hold each stage's rows against those it was given.
 ORACLE_SQL = None
 
 
