@@ -6,7 +6,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
-from pagegrain.llm import line_dedup
+from pagegrain.llm import components, line_dedup
 
 LENGTHS = (25, 43, 97)
 
@@ -52,8 +52,13 @@ def test_bands_lose_next_to_nothing(recall):
     assert min(recall.values()) >= 0.998
 
 
-def test_against_all_pairs(spark):
-    """Short and long near copies and exact copies of very short lines against all pairs."""
+@pytest.mark.parametrize(("keys", "share", "split"), [(1_000_000, 1000, 2000), (0, 1, 1)])
+def test_against_all_pairs(spark, monkeypatch, keys, share, split):
+    """Short and long near copies and exact copies of very short lines against all pairs, by broadcasts and
+    by shuffles, with all components hot and none, and with buckets whole and split."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", keys)
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
+    monkeypatch.setattr(components, "SPLIT", split)
     rng = random.Random(9)
     lines = [x for _, a, b in near_pairs(0.84, 0.97, 8, 3) + near_pairs(0.6, 0.78, 8, 4) for x in (a, b)]
     lines += ["Home", "Home", "twelve chars", "twelve chars!", "", "", "\t", "\t"] + lines[:6]
