@@ -68,3 +68,16 @@ def exports_pages(enabled: Column, pages: Column, most: Column) -> Column:
     """Whether page files are kept: switched on and, if there is a limit above 0, within it."""
     limit = F.coalesce(most, F.lit(0))
     return F.coalesce(enabled, F.lit(False)) & ~((limit > 0) & (F.coalesce(pages, F.lit(0)) > limit))
+
+
+def footer_mark(text: Column, b: Column, width: float, height: float, brand: str, extra: int = 24) -> Column:
+    """Whether a text that is little more than a brand's name stands small in the page's lower right corner.
+
+    Only letters and digits of the text count, in lower case. Null texts, null boxes and
+    boxes without an area are none.
+    """
+    packed = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
+    named = packed.contains(brand) & (F.length(F.replace(packed, F.lit(brand), F.lit(""))) <= extra)
+    sized = (b["x1"] > b["x0"]) & (b["y1"] > b["y0"]) & ((b["x1"] - b["x0"]) / width <= 0.22) & ((b["y1"] - b["y0"]) / height <= 0.08)
+    placed = ((b["y0"] + b["y1"]) / 2.0 >= 0.84 * height) & ((b["x0"] + b["x1"]) / 2.0 >= 0.72 * width)
+    return F.coalesce(named & sized & placed, F.lit(False))

@@ -25,7 +25,7 @@ def _around(xs: Column, ys: Column) -> Column:
     return F.when((F.size(xs) > 0) & _whole(xs) & _whole(ys), box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
 
 
-def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
     """An expression of a value that is computed once, however often the expression refers to it."""
     return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
 
@@ -63,7 +63,7 @@ def parse_box(text: Column) -> Column:
         as_object = F.coalesce(keyed(SIZE_KEYS, lambda x, y, w, h: box(x, y, x + w, y + h)), *(keyed(k, box) for k in CORNER_KEYS))
         return F.when(F.ltrim(text).startswith("["), as_list).when(F.ltrim(text).startswith("{"), as_object)
 
-    return _once(_once(F.try_parse_json(text), read), choose)
+    return once(once(F.try_parse_json(text), read), choose)
 
 
 #: Keys below which a vendor's item may have its box, in order of trial.
@@ -131,7 +131,7 @@ def vendor_box(text: Column) -> Column:
         as_object = F.coalesce(_vendor_position(F.try_variant_get(value, "$.position", "variant")), F.get(found, F.lit(0)), sides)
         return F.when(F.ltrim(text).startswith("["), _vendor_list(value)).when(F.ltrim(text).startswith("{"), as_object)
 
-    return _once(F.try_parse_json(text), read)
+    return once(F.try_parse_json(text), read)
 
 
 def content_box(text: Column) -> Column:
@@ -143,7 +143,7 @@ def content_box(text: Column) -> Column:
         around = F.when((F.size(outline) >= 8) & _present(outline), _around(_every_second(outline, 0), _every_second(outline, 1)))
         return F.when(F.size(four) == 4, F.when(_present(four), box(four[0], four[1], four[2], four[3]))).otherwise(around)
 
-    return _once(F.try_parse_json(text), read)
+    return once(F.try_parse_json(text), read)
 
 
 def page_size(text: Column) -> Column:
@@ -159,7 +159,7 @@ def page_size(text: Column) -> Column:
         )
         return F.coalesce(*(F.when((w > 0) & (h > 0), F.struct(w.alias("width"), h.alias("height"))) for w, h in found))
 
-    return _once(F.try_parse_json(text), read)
+    return once(F.try_parse_json(text), read)
 
 
 def crop_rect(b: Column, crop: Column, dpi: int, pad_x: float = 0.0, pad_y: float = 0.0) -> Column:
@@ -181,7 +181,7 @@ def item_confidence(text: Column, default: float = 0.7) -> Column:
         share = F.coalesce(raw.try_cast("double"), F.lit(default))
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when((share > 1.0) & (share <= 100.0), share / 100.0).otherwise(share)))
 
-    return _once(F.try_parse_json(text), read)
+    return once(F.try_parse_json(text), read)
 
 
 def _clip(left: Column, top: Column, right: Column, bottom: Column, width: Column, height: Column) -> Column:
