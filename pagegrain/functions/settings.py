@@ -88,3 +88,35 @@ def has_capability(model: Column, inputs: Column, outputs: Column, capability: C
     """``vision`` and ``ocr`` are judged, any other capability is had by all models."""
     reads = F.lower(F.coalesce(model, F.lit(""))).rlike("(?U)" + "|".join(OCR_NAMES))
     return F.when(capability == "vision", sees(model, inputs, outputs)).when(capability == "ocr", reads).otherwise(True)
+
+#: Of each provider the route, whether it is a vision-language model (None: by the model's name), and whether
+#: the main client may be used again, texts and line breaks may be refined, breaks are refined unasked (None: for such models), and never.
+ROUTES: dict[str, tuple[str, bool | None, bool, bool, bool, bool | None, bool]] = {
+    "baidu": ("machine_ocr", False, False, False, False, False, True),
+    "paddle_local": ("machine_ocr", False, True, True, True, False, False),
+    "local": ("machine_ocr", False, True, True, True, False, False),
+    "tesseract": ("machine_ocr", False, True, True, True, False, False),
+    "paddle": ("remote_doc_parser", True, False, False, True, True, False),
+    "aiocr": ("remote_prompt_ocr", None, False, False, True, True, False),
+    "auto": ("hybrid_auto", None, True, True, True, None, False),
+}
+UNKNOWN_ROUTE = ("unknown", None, True, False, False, False, False)
+#: Routes of the one provider for which the chain decides.
+CHAIN_PROVIDER, CHAIN_ROUTES = "aiocr", {"doc_parser": "remote_doc_parser", "layout_block": "local_layout_block_ocr"}
+ROUTE_FLAGS = ("vision_model", "reuse", "refine_text", "refine_breaks", "auto_breaks", "no_breaks")
+
+
+def route_plan(provider: Column, model: Column, chain: Column) -> Column:
+    """``kind`` and the flags of ROUTE_FLAGS for a provider, by the model's name and the chain (null: none)."""
+    by_name = F.contains(F.lower(F.coalesce(model, F.lit(""))), F.lit("paddleocr-vl"))
+
+    def plan(row: tuple) -> Column:
+        return F.struct(F.lit(row[0]).alias("kind"), *((by_name if v is None else F.lit(v)).alias(n) for n, v in zip(ROUTE_FLAGS, row[1:])))
+
+    out = plan(UNKNOWN_ROUTE)
+    for name, row in ROUTES.items():
+        out = F.when(provider == name, plan(row)).otherwise(out)
+    asked = F.lower(F.trim(chain))
+    for name, kind in CHAIN_ROUTES.items():
+        out = F.when((provider == CHAIN_PROVIDER) & (asked == name), plan((kind, *ROUTES[CHAIN_PROVIDER][1:]))).otherwise(out)
+    return out

@@ -121,3 +121,20 @@ def distinct_boxes(boxes: DataFrame, within: float = 2.0) -> DataFrame:
 
     kept = F.aggregate("s", F.slice("s", 1, 0), lambda acc, b: F.when(F.forall(acc, lambda k: apart(b, k)), F.concat(acc, F.array(b))).otherwise(acc))
     return page.select("page", F.explode(kept).alias("k")).select("page", "k.pos", "k.x0", "k.y0", "k.x1", "k.y1")
+
+
+def card_regions(regions: DataFrame, lines: DataFrame, page_width: float, page_height: float, line_height: float) -> DataFrame:
+    """Regions of a card's size that hold texts: four, three with two in CJK, or two on a twentieth of a larger card.
+
+    A text counts with its centre inside, no short token and not much lower than a line.
+    """
+    w, h = F.col("r.x1") - F.col("r.x0"), F.col("r.y1") - F.col("r.y0")
+    share = w * h / max(1.0, page_width * page_height)
+    sized = (share >= 0.10) & (w / page_width).between(0.22, 0.78) & (h / page_height).between(0.18, 0.78)
+    counted = lines.where((F.greatest(F.lit(1.0), F.col("y1") - F.col("y0")) >= max(4.0, 0.6 * line_height)) & ~txt.short_token(F.col("text")))
+    hit = (F.col("r.page") == F.col("b.page")) & geo.centre_in("b", "r")
+    found = regions.alias("r").where(sized).join(counted.alias("b"), hit)
+    grouped = found.groupBy(F.col("r.page").alias("page"), F.col("r.region").alias("region"), share.alias("share"), (w * h).alias("whole"))
+    held = grouped.agg(F.count("*").alias("n"), F.count_if(txt.has_cjk(F.col("b.text"))).alias("cjk"), F.sum(geo.overlap("r", "b")).alias("inter"))
+    covered = F.least(F.lit(1.0), F.col("inter") / F.greatest(F.lit(1.0), "whole"))
+    return held.where((F.col("n") >= 4) | ((F.col("cjk") >= 2) & (F.col("n") >= 3)) | ((F.col("n") >= 2) & (covered >= 0.05) & (F.col("share") >= 0.14))).select("page", "region", "n", "cjk")

@@ -14,7 +14,7 @@ from ..operators import events as ev
 from ..operators import layout
 from ..operators import listing as listing_ops
 from ..sources.tables import BOXES, EVENTS, REGIONS, boxes, job_events, regions, table
-from . import catalog, grouping, listing, measures, pages, payloads, quality, recognised, records, settings, texts  # noqa: F401  (all but catalog register their queries)
+from . import catalog, grouping, listing, measures, pages, payloads, quality, recognised, records, settings, shaping, texts  # noqa: F401  (all but catalog register their queries)
 from .catalog import query
 
 FLAGSHIP = "q_merge_primary"
