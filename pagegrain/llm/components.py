@@ -95,6 +95,27 @@ def _star(scratch: Scratch, live: DataFrame, centres: DataFrame, on: Column) ->
     return dealt.alias("x").join(copies.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") == F.col("y.part")) & on)
 
 
+def _joined_by(scratch: Scratch, pairs: DataFrame, labels: DataFrame, verify: Callable[[DataFrame], DataFrame], turn: str) -> DataFrame:
+    """The labels after the pairs a, b of components la < lb that link.
+
+    One link joins two components: the first and the last pair of each two are verified
+    before the others, and these only where the components are still apart.
+    """
+    ends = pairs.groupBy("la", "lb").agg(F.min(F.struct("a", "b")).alias("low"), F.max(F.struct("a", "b")).alias("high"))
+    probes = scratch.keep(f"probes{turn}", ends.select(F.explode(F.array("low", "high")).alias("p")).select("p.a", "p.b").distinct())
+    links = scratch.keep(f"links{turn}", verify(probes).select("a", "b"))
+    if links.take(1):
+        labels = merged(scratch, labels, links, f"labels{turn}")
+    one, other = labels.select(F.col("id").alias("a"), F.col("label").alias("ra")), labels.select(F.col("id").alias("b"), F.col("label").alias("rb"))
+    known = pairs.select("a", "b").join(probes, ["a", "b"], "left_anti").join(one, "a", "left").join(other, "b", "left")
+    apart = known.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    rest = scratch.keep(f"rest{turn}", apart)
+    if not rest.take(1):
+        return labels
+    more = scratch.keep(f"more{turn}", verify(rest).select("a", "b"))
+    return merged(scratch, labels, more, f"again{turn}") if more.take(1) else labels
+
+
 def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items: DataFrame, similarity: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """id and label of every item with a verified link, smallest id of its component.
 
@@ -106,8 +127,8 @@ def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items:
     components of a bucket are left apart only after all pairs between them have been
     held against each other: each further round takes centres from a bucket, those of
     the largest labels first, compares each with the members of other components, and
-    then takes the centres out. Pairs that pass ``may_link`` are verified. Buckets of
-    one component are done.
+    then takes the centres out. Pairs that pass ``may_link`` are verified, two of each
+    two components before the others. Buckets of one component are done.
     """
     members = scratch.keep("members", members.select("bucket", "id").distinct().join(items, "id"))
     data = [c for c in members.columns if c not in ("bucket", "id")]
@@ -133,18 +154,18 @@ def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items:
         centres = scratch.keep(f"centres{turn}", live.join(best, ["bucket", "id"]))
         apart = F.col("x.id") != F.col("y.id") if turn == 1 else F.col("x.label") != F.col("y.label")
         star = _star(scratch, live, centres, apart & may_link(similarity, "x", "y"))
-        star = star.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        pairs = (first.select("a", "b").union(star) if turn == 1 else star).distinct()
+        star = star.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.least("x.label", "y.label").alias("la"), F.greatest("x.label", "y.label").alias("lb"))
+        # in the first round every item is its own label
+        pairs = (first.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb")).union(star) if turn == 1 else star).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.keep(f"pairs{turn}", pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        if turn == 1 or pairs.take(1):
-            links = scratch.keep(f"links{turn}", verify(pairs).select("a", "b"))
-            if turn == 1:
-                labels = connected(scratch, links, "labels1")
-            elif links.take(1):
-                labels = merged(scratch, labels, links, f"labels{turn}")
+        told = pairs.select("a", "b")
+        tried = told if tried is None else tried.union(told)
+        if turn == 1:
+            labels = connected(scratch, scratch.keep("links1", verify(told).select("a", "b")), "labels1")
+        elif pairs.take(1):
+            labels = _joined_by(scratch, pairs, labels, verify, f"{turn}")
         if turn > NARROW:
             gone = centres.select("bucket", "id")
             members = scratch.keep(f"members{turn}", live.select("bucket", "id", *data).join(gone, ["bucket", "id"], "left_anti"))
