@@ -8,7 +8,10 @@ by centres, and only across components.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,17 +23,41 @@ CENTRES = 256
 NARROW = 2
 #: Members of a bucket that one task holds against its centres; larger buckets are split.
 SPLIT = 2000
+#: Links of which the components are found on the driver at most (16 bytes each); more go through rounds of joins.
+HERE = 200_000
 #: 64-bit parity words of a set: each member flips the bit that the top ten bits of its hash name.
 WORDS = 16
 
 
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of these links in order, and the smallest id of the component of each."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, other = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[one], label[other])
+        new = label.copy()
+        for ends in (one, other):
+            np.minimum.at(new, label[ends], low)
+            np.minimum.at(new, ends, low)
+        new = new[new]
+        if (new == label).all():
+            return ids, ids[label]
+        label = new
+
+
 def connected(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     """id and label (the smallest id of its component) of every end of the links a, b.
 
-    A union-find by rounds: each node takes its neighbours' smallest label, then its
-    label's label, until nothing moves.
+    A union-find: of HERE links at most on the driver, of more by rounds in which each
+    node takes its neighbours' smallest label, then its label's label, until nothing moves.
     """
-    both = links.select("a", "b").union(links.select("b", "a")).distinct()
+    links = scratch.keep(f"{name}-links", links.select("a", "b").distinct())
+    if links.count() <= HERE:
+        table = links.toArrow()
+        ids, low = roots(*(table.column(c).to_numpy().astype(np.int64) for c in ("a", "b")))
+        return scratch.keep(f"{name}-0", scratch.spark.createDataFrame(pa.table({"id": ids, "label": low}), "id long, label long"))
+    both = links.union(links.select("b", "a")).distinct()
     edges = scratch.keep(f"{name}-edges", both.toDF("a", "b"))
     labels = scratch.keep(f"{name}-0", edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("id"), "label"))
     turn = 0
@@ -53,20 +80,17 @@ def merged(scratch: Scratch, labels: DataFrame, links: DataFrame, name: str) ->
     every = scratch.keep(f"{name}-every", every)
     a, b = every.toDF("a", "la"), every.toDF("b", "lb")
     joins = links.join(a, "a").join(b, "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    roots = connected(scratch, joins, name).toDF("label", "root")
-    return scratch.keep(f"{name}-merged", every.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label")))
+    root = connected(scratch, joins, name).toDF("label", "root")
+    out = scratch.keep(f"{name}-merged", every.join(root, "label", "left").select("id", F.coalesce("root", "label").alias("label")))
+    scratch.drop(*[f"{name}-{part}" for part in ("every", "links", "edges", "0")])
+    return out
 
 
 def parities(members: DataFrame, key: str, member: str) -> DataFrame:
-    """id, the size n and the parity words g0, g1, ... of each set, from a row for each of its members.
-
-    A member touches the one word that its hash names; the words are turned to columns after.
-    """
-    place = F.shiftrightunsigned(F.col(member), 54)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
-    words = members.groupBy(F.col(key).alias("id"), F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_xor(bit).alias("bits"), F.count("*").alias("members"))
-    columns = [F.bit_xor(F.when(F.col("word") == w, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"g{w}") for w in range(WORDS)]
-    return words.groupBy("id").agg(F.sum("members").alias("n"), *columns)
+    """id, the size n and the parity words g0, g1, ... of each set, from a row for each of its members."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.col(member), 54).bitwiseAND(63).cast("int"))
+    placed = members.select(F.col(key).alias("id"), F.shiftrightunsigned(F.col(member), 60).cast("int").alias("word"), bit.alias("bit"))
+    return placed.groupBy("id").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"g{w}") for w in range(WORDS)])
 
 
 def may_link(similarity: int, a: str, b: str) -> Column:
@@ -78,7 +102,7 @@ def may_link(similarity: int, a: str, b: str) -> Column:
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     total = na + nb
     least = F.ceil(total * similarity / F.lit(100.0 + similarity) - F.lit(1e-6))
-    differ = sum((F.bit_count(F.col(f"{a}.g{w}").bitwiseXOR(F.col(f"{b}.g{w}"))) for w in range(1, WORDS)), F.bit_count(F.col(f"{a}.g0").bitwiseXOR(F.col(f"{b}.g0"))))
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{a}.g{w}").bitwiseXOR(F.col(f"{b}.g{w}"))) for w in range(WORDS)])
     return (100 * F.least(na, nb) >= similarity * F.greatest(na, nb)) & (differ <= total - 2 * least)
 
 
@@ -104,16 +128,21 @@ def _joined_by(scratch: Scratch, pairs: DataFrame, labels: DataFrame, verify: Ca
     ends = pairs.groupBy("la", "lb").agg(F.min(F.struct("a", "b")).alias("low"), F.max(F.struct("a", "b")).alias("high"))
     probes = scratch.keep(f"probes{turn}", ends.select(F.explode(F.array("low", "high")).alias("p")).select("p.a", "p.b").distinct())
     links = scratch.keep(f"links{turn}", verify(probes).select("a", "b"))
+    scratch.release()
     if links.take(1):
         labels = merged(scratch, labels, links, f"labels{turn}")
     one, other = labels.select(F.col("id").alias("a"), F.col("label").alias("ra")), labels.select(F.col("id").alias("b"), F.col("label").alias("rb"))
     known = pairs.select("a", "b").join(probes, ["a", "b"], "left_anti").join(one, "a", "left").join(other, "b", "left")
     apart = known.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     rest = scratch.keep(f"rest{turn}", apart)
-    if not rest.take(1):
-        return labels
-    more = scratch.keep(f"more{turn}", verify(rest).select("a", "b"))
-    return merged(scratch, labels, more, f"again{turn}") if more.take(1) else labels
+    if rest.take(1):
+        more = scratch.keep(f"more{turn}", verify(rest).select("a", "b"))
+        scratch.release()
+        if more.take(1):
+            labels = merged(scratch, labels, more, f"again{turn}")
+            scratch.drop(f"labels{turn}-merged")
+    scratch.drop(f"probes{turn}", f"links{turn}", f"rest{turn}", f"more{turn}")
+    return labels
 
 
 def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items: DataFrame, similarity: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -145,8 +174,8 @@ def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items:
             open_ = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
             live = known.join(open_, "bucket", "left_semi")
         live = scratch.keep(f"live{turn}", live)
-        if turn > NARROW + 1:
-            scratch.drop(f"members{turn - 1}")
+        if turn > NARROW:
+            scratch.drop(f"members{turn - 1}" if turn > NARROW + 1 else "members")
         # each slot of a bucket has one centre: the largest id of its largest label
         slots = (1, 4, 8, CENTRES)[min(turn, 4) - 1]
         slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(slots)).cast("int")
@@ -160,6 +189,7 @@ def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items:
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.keep(f"pairs{turn}", pairs)
+        scratch.drop("large-buckets")
         told = pairs.select("a", "b")
         tried = told if tried is None else tried.union(told)
         if turn == 1:
@@ -169,7 +199,7 @@ def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items:
         if turn > NARROW:
             gone = centres.select("bucket", "id")
             members = scratch.keep(f"members{turn}", live.select("bucket", "id", *data).join(gone, ["bucket", "id"], "left_anti"))
-            scratch.drop(f"live{turn}")
+        scratch.drop(f"live{turn}", f"centres{turn}")
         scratch.release()
         if not members.take(1):
             return labels

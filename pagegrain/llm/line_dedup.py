@@ -1,21 +1,23 @@
 """Fuzzy line dedup, in DataFrame operations alone.
 
 A line is the set of its character shingles, all of which are signed. Each shingle is
-hashed to 128 bits, and BANDS minima are taken over rotations of these under as many
-masks. A band is ROWS of the minima, and each minimum serves ROWS bands. Lines that
-share a band are candidates, verified by the Jaccard similarity of their whole shingle
-sets. Verified links are joined by a distributed union-find, and of each component the
-first line in order of document stays.
+hashed to 128 bits, which give BANDS / 2 orders of the shingles; a signature is the
+smallest and the largest value of each order. A band is ROWS of these, and each serves
+ROWS bands. Lines that share a band are candidates. Pairs whose sizes and parity words
+show that they cannot link are left out, the others are verified by the Jaccard
+similarity of their whole shingle sets. Verified links are joined by union-find, and of
+each component the first line in order of document stays.
+
+Shingles of a line are hashed GROUP at a time, in one row; its last row repeats the last
+shingle, which changes no minimum and no set.
 """
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import link_buckets, parities
+from .components import link_buckets, may_link, parities
 from .names import fresh
 from .scratch import Scratch
 
@@ -26,29 +28,26 @@ MIN_CHARS = SHINGLE
 SIMILARITY = 80
 #: Of pairs at the threshold one in 4800 shares no band.
 BANDS, ROWS = 20, 3
-#: The minima of each band: a cyclic design, in which two bands share one minimum at most.
+#: The values of each band: a cyclic design, in which two bands share one value at most. Value i is the least of
+#: order i or the largest of order i - BANDS / 2, which no band has both.
 MEMBERS = [(i, (i + 1) % BANDS, (i + 4) % BANDS) for i in range(BANDS)]
-#: Bits by which neighbours among the rotations of one hash differ.
-TURN = 64 // (BANDS // 2)
+#: An order goes by a hash without so many of its first bits; half of the orders go by either hash.
+SKIPPED = (0, 10, 20, 30, 40)
+#: Shingles that one row hashes.
+GROUP = 8
+#: Parts of the bands that are shuffled one after another.
+SLICES = 4
 #: Keys of candidate lines that are broadcast at most (some 30 MB) to pick their texts in place; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 #: A component with more than one in so many of the lines is hot; there are fewer of these than this.
 HOT_SHARE = 1000
 
-_random = random.Random(8)
-MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(BANDS)]
-
 
 def _units(line: Column | str) -> Column:
     """Two bytes for each character, so a shingle is cut out in constant time."""
     return F.encode(line, "UTF-16BE")
 
 
-def _shingles(units: str) -> Column:
-    """All distinct shingle hashes of a line's units."""
-    return F.expr(f"array_distinct(transform(sequence(1, octet_length({units}) - {2 * SHINGLE - 1}, 2), i -> xxhash64(substring({units}, i, {2 * SHINGLE}))))")
-
-
 def _lines(documents: DataFrame) -> DataFrame:
     """A row for each line that may be dropped: its document, number, hashes and text."""
     row = F.xxhash64("doc_id", "text").alias("row")
@@ -56,32 +55,51 @@ def _lines(documents: DataFrame) -> DataFrame:
     return split.where(F.col("line").rlike(r"\S")).select("doc_id", "row", "line_no", F.xxhash64("line").alias("key"), F.xxhash64("line", F.lit(1)).alias("key2"), "line")
 
 
-def _rotated(h: Column, by: int) -> Column:
-    return F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by)) if by else h
+def _hashes(units: str, last: str, group: int) -> list[Column]:
+    """The hashes of so many shingles from ``at`` on; beyond the last, of the last."""
+    return [F.xxhash64(F.expr(f"substring({units}, least(at + {2 * j}, {last}), {2 * SHINGLE})")) for j in range(group)]
+
+
+def _hashed(lines: DataFrame, group: int) -> DataFrame:
+    """key and h0, h1, ..., the hashes of so many of the line's shingles, in as many rows as it takes."""
+    units = lines.select("key", _units("line").alias("units")).select("key", "units", F.expr(f"octet_length(units) - {2 * SHINGLE - 1}").alias("last"))
+    rows = units.select("key", "units", "last", F.explode(F.expr(f"sequence(1, last, {2 * group})")).alias("at"))
+    return rows.select("key", *[h.alias(f"h{j}") for j, h in enumerate(_hashes("units", "last", group))])
 
 
 def _bands(lines: DataFrame) -> DataFrame:
     """key and the hashes of its signature's bands. Equal lines meet in one row, most within their task."""
-    units = lines.select("key", _units("line").alias("units"))
-    at = F.explode(F.expr(f"sequence(1, octet_length(units) - {2 * SHINGLE - 1}, 2)"))
-    hashed = units.select("key", "units", at.alias("at")).select("key", F.xxhash64(F.expr(f"substring(units, at, {2 * SHINGLE})")).alias("h"))
-    twice = hashed.select("key", F.col("h").alias("h0"), F.xxhash64("h").alias("h1"))
-    minima = [F.min(_rotated(F.col(f"h{i % 2}"), TURN * (i // 2)).bitwiseXOR(F.lit(mask))).alias(f"m{i}") for i, mask in enumerate(MASKS)]
-    signed = twice.groupBy("key").agg(*minima)
+    hashed = _hashed(lines, GROUP)
+    twice = hashed.select("key", *[F.col(f"h{j}").alias(f"x0{j}") for j in range(GROUP)], *[F.xxhash64(f"h{j}").alias(f"x1{j}") for j in range(GROUP)])
+    orders = [[F.shiftleft(f"x{own}{j}", skipped) if skipped else F.col(f"x{own}{j}") for j in range(GROUP)] for own in (0, 1) for skipped in SKIPPED]
+    ends = [F.min(F.least(*o)) for o in orders] + [F.max(F.greatest(*o)) for o in orders]
+    signed = twice.groupBy("key").agg(*[end.alias(f"m{i}") for i, end in enumerate(ends)])
     return signed.select("key", F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in band]) for b, band in enumerate(MEMBERS)]).alias("bands"))
 
 
+def _sets(lines: DataFrame) -> DataFrame:
+    """key and s, all distinct shingle hashes of each line."""
+    parts = _hashed(lines, GROUP)
+    parts = parts.select("key", F.array(*[f"h{j}" for j in range(GROUP)]).alias("part"))
+    return parts.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("part"))).alias("s"))
+
+
 def _components(scratch: Scratch, lines: DataFrame) -> DataFrame:
     """id and label of the lines that are linked to an unequal one."""
     bands = scratch.keep("bands", _bands(lines.where(F.length("line") >= MIN_CHARS)))
     scratch.release()
-    rows = bands.select("key", F.explode("bands").alias("bucket"))
-    found = scratch.keep("buckets", rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where("n > 1"))
-    scratch.release()
+    found, each = None, BANDS // SLICES
+    for part in range(SLICES):
+        rows = bands.select("key", F.explode(F.slice("bands", part * each + 1, each)).alias("bucket"))
+        many = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where("n > 1")
+        many = scratch.keep(f"buckets{part}", many)
+        found = many if found is None else found.union(many)
+        scratch.release()
     first = found.where("n = 2").select("a", "b").distinct()
     wide = found.where("n > 2").select("bucket")
     if wide.count() <= BROADCAST_KEYS:
         wide = F.broadcast(wide)
+    rows = bands.select("key", F.explode("bands").alias("bucket"))
     members = scratch.keep("large", rows.join(wide, "bucket", "left_semi").select("bucket", F.col("key").alias("id")))
     scratch.drop("bands")
     needed = scratch.keep("needed", first.select(F.explode(F.array("a", "b")).alias("key")).union(members.select("id")).distinct())
@@ -89,17 +107,21 @@ def _components(scratch: Scratch, lines: DataFrame) -> DataFrame:
     # equal lines meet before the shuffle where they stand in one task
     texts = scratch.keep_bucketed("texts", lines.select("key", "line").join(picked, "key", "left_semi").dropDuplicates(["key"]), "key")
     scratch.release()
-    # the sizes and parity words of lines in wide buckets; pairs that are alone in a bucket are verified at once
-    inside = members.select(F.col("id").alias("key")).distinct()
-    shingle = texts.join(inside, "key", "left_semi").select("key", _units("line").alias("units")).select("key", F.explode(_shingles("units")).alias("h"))
-    items = scratch.keep_bucketed("items", parities(shingle, "key", "h"), "id")
+    items = scratch.keep_bucketed("items", parities(_sets(texts).select("key", F.explode("s").alias("h")), "key", "h"), "id")
+    x, y = items.alias("x"), items.alias("y")
+    first = scratch.keep("first", first.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(may_link(SIMILARITY, "x", "y")).select("a", "b"))
+    scratch.drop(*[f"buckets{part}" for part in range(SLICES)])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("key").alias("a"), _units("line").alias("ua"))
-        b = texts.select(F.col("key").alias("b"), _units("line").alias("ub"))
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", _shingles("ua").alias("sa"), _shingles("ub").alias("sb"))
-        shared = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-        return shared.where(100 * F.col("shared") >= SIMILARITY * (F.col("total") - F.col("shared")))
+        ends = [texts.select(F.col("key").alias(end), _units("line").alias(f"u{end}"), F.expr(f"2 * length(line) - {2 * SHINGLE - 1}").alias(f"last{end}")) for end in ("a", "b")]
+        both = pairs.select("a", "b").join(ends[0], "a").join(ends[1], "b")
+        # the sets of both sides from rows of GROUP shingles: a lambda over the units would copy them for each shingle
+        rows = both.select("a", "b", "ua", "ub", "lasta", "lastb", F.explode(F.expr(f"sequence(1, greatest(lasta, lastb), {2 * GROUP})")).alias("at"))
+        parts = rows.select("a", "b", *[F.array(*_hashes(f"u{end}", f"last{end}", GROUP)).alias(f"s{end}") for end in ("a", "b")])
+        sets = parts.groupBy("a", "b").agg(*[F.array_distinct(F.flatten(F.collect_list(f"s{end}"))).alias(f"s{end}") for end in ("a", "b")])
+        # a generator, or the filter's copies of these expressions compute them several times
+        sized = sets.select("a", "b", F.inline(F.array(F.struct((F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("shared")))))
+        return sized.where(100 * F.col("shared") >= SIMILARITY * (F.col("total") - F.col("shared")))
 
     return link_buckets(scratch, first, members, items, SIMILARITY, verify)
 

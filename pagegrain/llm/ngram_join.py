@@ -211,8 +211,9 @@ def _joined(documents: DataFrame, scratch: Scratch) -> DataFrame:
         a = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
         b = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
         sized = pairs.join(a, "a").join(b, "b").where(100 * F.least(F.size("sa"), F.size("sb")) >= SIMILARITY * F.greatest(F.size("sa"), F.size("sb")))
-        both = sized.withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        return both.where(100 * F.col("both") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("both")))
+        # a generator between, or the filter's copy of the expression computes it again
+        both = sized.select("a", "b", F.inline(F.array(F.struct(F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both")))))
+        return both.where(100 * F.col("both") >= SIMILARITY * (F.col("na") + F.col("nb") - F.col("both")))
 
     x, y = items.alias("x"), items.alias("y")
     close = pairs.union(more).distinct().join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(may_link(SIMILARITY, "x", "y"))
