@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 4096
+#: The powers of shorter strings fill tables of this size.
+SHORT = 1 << 17
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -41,7 +43,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> list[np.ndarray]:
     """The powers of the base of polynomial hashes and of its inverse, n at least."""
     if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = next((s for s in (SHORT + 1, CHUNK_BYTES + 1) if n <= s), n)
         with np.errstate(over="ignore"):
             for i, base in enumerate((_BASE, _INVERSE)):
                 steps = np.full(size, base, np.uint64)

@@ -46,6 +46,10 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+#: Rows of an Arrow batch while a table is kept; the JVM's and the worker's copies of a batch of texts lie outside the heap.
+ARROW_ROWS = 1000
+
+
 class Scratch:
     """Tables of one operator run. ``keep`` writes one, ``drop`` removes one early."""
 
@@ -60,14 +64,16 @@ class Scratch:
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         schema = df.schema
-        df.write.mode("overwrite").parquet(self.path(name))
+        with arrow_rows(self.spark, ARROW_ROWS):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def keep_bucketed(self, name: str, df: DataFrame, column: str) -> DataFrame:
         """A kept table in buckets of a column, as many as shuffle partitions: joins on it leave its rows in place."""
         table = f"pagegrain_{os.path.basename(self.root).replace('-', '_')}_{name}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.mode("overwrite").format("parquet").bucketBy(buckets, column).option("path", self.path(name)).saveAsTable(table)
+        with arrow_rows(self.spark, ARROW_ROWS):
+            df.write.mode("overwrite").format("parquet").bucketBy(buckets, column).option("path", self.path(name)).saveAsTable(table)
         self.tables.append(table)
         return self.spark.table(table)
 

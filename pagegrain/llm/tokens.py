@@ -20,10 +20,11 @@ import regex
 from .bytetext import mix, powers
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-#: Bounds of what a worker remembers, some 65 MB.
-KNOWN_PIECES = 1_400_000
-KNOWN_IDS = 8_000_000
-PART_CHARS = 1 << 19
+#: Bounds of what a worker remembers, some 32 MB: two workers stand beside an executor's heap.
+KNOWN_PIECES = 700_000
+KNOWN_IDS = 4_000_000
+#: Code points that are cut and gathered at once; a pass holds some ten longs for each.
+PART_CHARS = 1 << 17
 
 #: Unicode's white space, and the contractions of the public pattern of byte-level BPE pre-tokenizers.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -34,7 +35,7 @@ MARK = "\U0010ffff"
 
 OTHER, LETTER, NUMBER, WHITE = range(4)
 BLANK, APOSTROPHE = 0x20, 0x27
-_BITS = 21
+_BITS = 20
 _MASK = (1 << _BITS) - 1
 
 
@@ -55,9 +56,19 @@ def _kinds() -> np.ndarray:
     return table
 
 
+def _weighed(points: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix((points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
 @cache
-def _weights() -> np.ndarray:
-    return mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _plane() -> np.ndarray:
+    return _weighed(np.arange(1 << 16))
+
+
+def _weights(points: np.ndarray) -> np.ndarray:
+    """A weight for each code point, from a table where all are in the first plane."""
+    return _weighed(points) if points.max(initial=0) >> 16 else _plane()[points]
 
 
 @cache
@@ -235,7 +246,7 @@ class Encoder:
         power, inverse = powers(len(points) + 1)
         with np.errstate(over="ignore"):
             sums = np.zeros(len(points) + 1, np.uint64)
-            np.cumsum(_weights()[points] * power[: len(points)], out=sums[1:])
+            np.cumsum(_weights(points) * power[: len(points)], out=sums[1:])
             out = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
         out[out == 0] = 1
         return out

@@ -356,3 +356,27 @@ def test_tokens_in_parts(monkeypatch, chars, pieces):
         ends = np.cumsum(counts)
         for text, b, n in zip(texts[at : at + 9], ends, counts):
             assert ids[b - n : b].tolist() == e.whole(text).tolist(), text
+
+
+def test_a_worker_remembers_a_bounded_table():
+    """The table of pieces took 65 MB of each worker and the passes over a batch as much."""
+    one = tokens.Encoder()
+    rng = np.random.default_rng(1)
+    for _ in range(12):
+        one.encode([" ".join(f"{x:x}" for x in rng.integers(0, 2**62, 9000))])
+    known = one.known
+    assert sum(x.nbytes for x in (known.keys, known.first, known.count, known.ids)) <= 34 << 20
+    assert tokens.KNOWN_IDS * 4 <= 16 << 20 and tokens.PART_CHARS <= 1 << 17
+
+
+def test_kept_tables_take_few_rows_a_batch(spark):
+    """A batch held 10 000 texts, once in the JVM outside its heap and once in the worker."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = Scratch(spark, "batches").keep("n", spark.range(5000).coalesce(1).mapInArrow(sizes, "n long")).collect()
+    assert sum(r.n for r in got) == 5000 and max(r.n for r in got) <= 1000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
