@@ -21,6 +21,8 @@ from .scratch import Scratch
 CENTRES = 256
 #: First rounds that hold an item against centres of its first bucket alone.
 NARROW = 2
+#: Members of a bucket up to which ``small`` may say that all its pairs are compared at once.
+SMALL = 32
 #: Members of a bucket that one task holds against its centres; larger buckets are split.
 SPLIT = 2000
 #: Links of which the components are found on the driver at most (16 bytes each); more go through rounds of joins.
@@ -93,6 +95,20 @@ def parities(members: DataFrame, key: str, member: str) -> DataFrame:
     return placed.groupBy("id").agg(F.count("*").alias("n"), *[F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"g{w}") for w in range(WORDS)])
 
 
+def list_parities(sets: DataFrame, key: str, members: str, group: int) -> DataFrame:
+    """As ``parities``, from an array of the distinct members of each set, so many of them in a row."""
+    rows = sets.select(key, members, F.size(members).cast("long").alias("n"), F.explode(F.expr(f"sequence(0, size({members}) - 1, {group})")).alias("at"))
+    # beyond the last member null, which flips no bit
+    part = rows.select(key, "n", *[F.get(members, F.col("at") + j).alias(f"h{j}") for j in range(group)])
+    bit = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(f"h{j}", 54).bitwiseAND(63).cast("int"))
+    placed = part.select(F.col(key).alias("id"), "n", *[c for j in range(group) for c in (F.shiftrightunsigned(f"h{j}", 60).cast("int").alias(f"w{j}"), bit(j).alias(f"b{j}"))])
+
+    def word(w: int) -> Column:
+        return F.bit_xor(reduce(Column.bitwiseXOR, [F.when(F.col(f"w{j}") == w, F.col(f"b{j}")).otherwise(F.lit(0).cast("long")) for j in range(group)]))
+
+    return placed.groupBy("id").agg(F.max("n").alias("n"), *[word(w).alias(f"g{w}") for w in range(WORDS)])
+
+
 def may_link(similarity: int, a: str, b: str) -> Column:
     """False only for pairs below 100 times the similarity, by their sizes and parity words.
 
@@ -145,7 +161,7 @@ def _joined_by(scratch: Scratch, pairs: DataFrame, labels: DataFrame, verify: Ca
     return labels
 
 
-def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items: DataFrame, similarity: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items: DataFrame, similarity: int, verify: Callable[[DataFrame], DataFrame], small: int = 0) -> DataFrame:
     """id and label of every item with a verified link, smallest id of its component.
 
     ``first`` has pairs a < b to verify at once, ``members`` the buckets (bucket, id)
@@ -156,10 +172,20 @@ def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items:
     components of a bucket are left apart only after all pairs between them have been
     held against each other: each further round takes centres from a bucket, those of
     the largest labels first, compares each with the members of other components, and
-    then takes the centres out. Pairs that pass ``may_link`` are verified, two of each
+    then takes the centres out. Of a bucket with ``small`` members at most all pairs are
+    held against each other in the first round, and it is done. Pairs that pass ``may_link`` are verified, two of each
     two components before the others. Buckets of one component are done.
     """
-    members = scratch.keep("members", members.select("bucket", "id").distinct().join(items, "id"))
+    members = members.select("bucket", "id").distinct()
+    if small:
+        members = members.join(members.groupBy("bucket").agg(F.count("*").alias("members")), "bucket")
+    members = scratch.keep("members", members.join(items, "id"))
+    near = None
+    if small:
+        few, members = members.where(F.col("members") <= small), members.where(F.col("members") > small).drop("members")
+        both = few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & may_link(similarity, "x", "y"))
+        near = scratch.keep("near", both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+        first = first.select("a", "b").union(near)
     data = [c for c in members.columns if c not in ("bucket", "id")]
     own = members.groupBy("id").agg(F.min("bucket").alias("bucket"))
     labels = tried = None

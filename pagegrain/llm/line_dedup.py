@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import link_buckets, may_link, parities
+from .components import SMALL, link_buckets, list_parities, may_link
 from .names import fresh
 from .scratch import Scratch
 
@@ -35,6 +35,8 @@ MEMBERS = [(i, (i + 1) % BANDS, (i + 4) % BANDS) for i in range(BANDS)]
 SKIPPED = (0, 10, 20, 30, 40)
 #: Shingles that one row hashes.
 GROUP = 8
+#: The same where sets are gathered, a row at a time.
+WIDE_GROUP = 16
 #: Parts of the bands that are shuffled one after another.
 SLICES = 4
 #: Keys of candidate lines that are broadcast at most (some 30 MB) to pick their texts in place; more are joined by a shuffle.
@@ -79,8 +81,8 @@ def _bands(lines: DataFrame) -> DataFrame:
 
 def _sets(lines: DataFrame) -> DataFrame:
     """key and s, all distinct shingle hashes of each line."""
-    parts = _hashed(lines, GROUP)
-    parts = parts.select("key", F.array(*[f"h{j}" for j in range(GROUP)]).alias("part"))
+    parts = _hashed(lines, WIDE_GROUP)
+    parts = parts.select("key", F.array(*[f"h{j}" for j in range(WIDE_GROUP)]).alias("part"))
     return parts.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("part"))).alias("s"))
 
 
@@ -107,7 +109,7 @@ def _components(scratch: Scratch, lines: DataFrame) -> DataFrame:
     # equal lines meet before the shuffle where they stand in one task
     texts = scratch.keep_bucketed("texts", lines.select("key", "line").join(picked, "key", "left_semi").dropDuplicates(["key"]), "key")
     scratch.release()
-    items = scratch.keep_bucketed("items", parities(_sets(texts).select("key", F.explode("s").alias("h")), "key", "h"), "id")
+    items = scratch.keep_bucketed("items", list_parities(_sets(texts), "key", "s", GROUP), "id")
     x, y = items.alias("x"), items.alias("y")
     first = scratch.keep("first", first.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(may_link(SIMILARITY, "x", "y")).select("a", "b"))
     scratch.drop(*[f"buckets{part}" for part in range(SLICES)])
@@ -115,15 +117,15 @@ def _components(scratch: Scratch, lines: DataFrame) -> DataFrame:
     def verify(pairs: DataFrame) -> DataFrame:
         ends = [texts.select(F.col("key").alias(end), _units("line").alias(f"u{end}"), F.expr(f"2 * length(line) - {2 * SHINGLE - 1}").alias(f"last{end}")) for end in ("a", "b")]
         both = pairs.select("a", "b").join(ends[0], "a").join(ends[1], "b")
-        # the sets of both sides from rows of GROUP shingles: a lambda over the units would copy them for each shingle
-        rows = both.select("a", "b", "ua", "ub", "lasta", "lastb", F.explode(F.expr(f"sequence(1, greatest(lasta, lastb), {2 * GROUP})")).alias("at"))
-        parts = rows.select("a", "b", *[F.array(*_hashes(f"u{end}", f"last{end}", GROUP)).alias(f"s{end}") for end in ("a", "b")])
+        # the sets of both sides from rows of WIDE_GROUP shingles: a lambda over the units would copy them for each shingle
+        rows = both.select("a", "b", "ua", "ub", "lasta", "lastb", F.explode(F.expr(f"sequence(1, greatest(lasta, lastb), {2 * WIDE_GROUP})")).alias("at"))
+        parts = rows.select("a", "b", *[F.array(*_hashes(f"u{end}", f"last{end}", WIDE_GROUP)).alias(f"s{end}") for end in ("a", "b")])
         sets = parts.groupBy("a", "b").agg(*[F.array_distinct(F.flatten(F.collect_list(f"s{end}"))).alias(f"s{end}") for end in ("a", "b")])
         # a generator, or the filter's copies of these expressions compute them several times
         sized = sets.select("a", "b", F.inline(F.array(F.struct((F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("shared")))))
         return sized.where(100 * F.col("shared") >= SIMILARITY * (F.col("total") - F.col("shared")))
 
-    return link_buckets(scratch, first, members, items, SIMILARITY, verify)
+    return link_buckets(scratch, first, members, items, SIMILARITY, verify, SMALL)
 
 
 def dropped_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:

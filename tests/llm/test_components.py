@@ -70,3 +70,36 @@ def test_few_links_take_two_tables(spark, monkeypatch):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     assert components.connected(Scratch(spark, "connected"), links, "links").where("label = 0").count() == 201
     assert len(kept) == 2
+
+
+def test_parities_of_lists(spark):
+    """The same words from arrays of any length as from a row for each member."""
+    rng = random.Random(8)
+    sets = spark.createDataFrame([(i, [rng.randrange(-(2**63), 2**63) for _ in range(n)]) for i, n in enumerate((1, 7, 8, 9, 40, 301))], "key long, s array<long>")
+    want = components.parities(sets.select("key", F.explode("s").alias("h")), "key", "h")
+    assert sorted(components.list_parities(sets, "key", "s", 8).collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("small", [0, 6])
+def test_small_buckets_take_one_round(spark, monkeypatch, small):
+    """A bucket whose members are apart took a round for each few of its centres."""
+    kept = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, name, df: kept.append(name) or keep(self, name, df))
+    ids = list(range(40))
+    sets = spark.createDataFrame([(i, [random.Random(i // 2 * 100 + k).randrange(-(2**63), 2**63) for k in range(10 - i % 2)]) for i in ids], "id long, s array<long>")
+    members = spark.createDataFrame([(f"s{i // 4}", i) for i in ids] + [("one", i) for i in ids[:7]], "bucket string, id long")
+    items = components.list_parities(sets, "id", "s", 8)
+    first = spark.createDataFrame([], "a long, b long")
+    scratch = Scratch(spark, "linked")
+
+    def verify(pairs):
+        a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+        return pairs.join(a, "a").join(b, "b").where(5 * F.size(F.array_intersect("sa", "sb")) >= 4 * F.size(F.array_union("sa", "sb"))).select("a", "b")
+
+    got = components.link_buckets(scratch, first, members, items, 80, verify, small)
+    assert {r.id: r.label for r in got.collect()} == {i: i // 2 * 2 for i in ids}
+    assert small == 0 or spark.read.parquet(scratch.path("near")).count() >= 20
+    kept.clear()
+    components.link_buckets(scratch, first, members.where("bucket != 'one'"), items, 80, verify, small)
+    assert ("live2" in kept) == (small == 0)
