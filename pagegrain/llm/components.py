@@ -25,6 +25,10 @@ NARROW = 2
 SMALL = 32
 #: Members of a bucket that one task holds against its centres; larger buckets are split.
 SPLIT = 2000
+#: Members outside a bucket's smallest label that are its centres all at once, in place of CENTRES.
+WHOLE = 2000
+#: Pairs of a round that are verified at once.
+FEW = 20_000
 #: Links of which the components are found on the driver at most (16 bytes each); more go through rounds of joins.
 HERE = 200_000
 #: 64-bit parity words of a set: each member flips the bit that the top ten bits of its hash name.
@@ -124,23 +128,27 @@ def may_link(similarity: int, a: str, b: str) -> Column:
 
 def _star(scratch: Scratch, live: DataFrame, centres: DataFrame, on: Column) -> DataFrame:
     """Members x with the centres y of their bucket. A large bucket's members are dealt to
-    several tasks, each with a copy of its centres, of which it has CENTRES at most."""
-    large = live.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > SPLIT)
-    parts = scratch.keep("large-buckets", large.select("bucket", F.ceil(F.col("members") / SPLIT).cast("int").alias("parts")))
-    if not parts.take(1):
+    several tasks, each with a copy of its centres."""
+    if not live.where(F.col("size") > SPLIT).take(1):
         return live.alias("x").join(centres.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & on)
     # a row for SPLIT members
-    dealt = live.join(F.broadcast(parts), "bucket", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))
-    copies = centres.join(F.broadcast(parts), "bucket", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    parts = F.ceil(F.col("size") / SPLIT).cast("int")
+    dealt = live.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    copies = centres.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     return dealt.alias("x").join(copies.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") == F.col("y.part")) & on)
 
 
-def _joined_by(scratch: Scratch, pairs: DataFrame, labels: DataFrame, verify: Callable[[DataFrame], DataFrame], turn: str) -> DataFrame:
-    """The labels after the pairs a, b of components la < lb that link.
+def _joined_by(scratch: Scratch, pairs: DataFrame, count: int, labels: DataFrame, verify: Callable[[DataFrame], DataFrame], verify_few: Callable[[DataFrame], DataFrame], turn: str) -> DataFrame:
+    """The labels after so many pairs a, b of components la < lb, of which some link.
 
     One link joins two components: the first and the last pair of each two are verified
-    before the others, and these only where the components are still apart.
+    before the others, and these only where the components are still apart. FEW pairs
+    are verified at once.
     """
+    if count <= FEW:
+        links = scratch.keep(f"links{turn}", verify_few(pairs.select("a", "b")).select("a", "b"))
+        scratch.release()
+        return merged(scratch, labels, links, f"labels{turn}") if links.take(1) else labels
     ends = pairs.groupBy("la", "lb").agg(F.min(F.struct("a", "b")).alias("low"), F.max(F.struct("a", "b")).alias("high"))
     probes = scratch.keep(f"probes{turn}", ends.select(F.explode(F.array("low", "high")).alias("p")).select("p.a", "p.b").distinct())
     links = scratch.keep(f"links{turn}", verify(probes).select("a", "b"))
@@ -148,8 +156,8 @@ def _joined_by(scratch: Scratch, pairs: DataFrame, labels: DataFrame, verify: Ca
     if links.take(1):
         labels = merged(scratch, labels, links, f"labels{turn}")
     one, other = labels.select(F.col("id").alias("a"), F.col("label").alias("ra")), labels.select(F.col("id").alias("b"), F.col("label").alias("rb"))
-    known = pairs.select("a", "b").join(probes, ["a", "b"], "left_anti").join(one, "a", "left").join(other, "b", "left")
-    apart = known.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    known = pairs.select("a", "b").join(one, "a", "left").join(other, "b", "left")
+    apart = known.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(probes, ["a", "b"], "left_anti")
     rest = scratch.keep(f"rest{turn}", apart)
     if rest.take(1):
         more = scratch.keep(f"more{turn}", verify(rest).select("a", "b"))
@@ -161,71 +169,85 @@ def _joined_by(scratch: Scratch, pairs: DataFrame, labels: DataFrame, verify: Ca
     return labels
 
 
-def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items: DataFrame, similarity: int, verify: Callable[[DataFrame], DataFrame], small: int = 0) -> DataFrame:
+def link_buckets(scratch: Scratch, first: DataFrame, members: DataFrame, items: DataFrame, similarity: int, verify: Callable[[DataFrame], DataFrame], small: int = 0, verify_few: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """id and label of every item with a verified link, smallest id of its component.
 
     ``first`` has pairs a < b to verify at once, ``members`` the buckets (bucket, id)
     of any size within which every pair may link, ``items`` the size n and the parity
     words g0, g1, ... of each id of a bucket. The first rounds hold each item
-    against one centre and then four of its first bucket, which joins most of a large
+    against one centre and then 16 of its first bucket, which joins most of a large
     group. Two
     components of a bucket are left apart only after all pairs between them have been
     held against each other: each further round takes centres from a bucket, those of
     the largest labels first, compares each with the members of other components, and
-    then takes the centres out. Of a bucket with ``small`` members at most all pairs are
-    held against each other in the first round, and it is done. Pairs that pass ``may_link`` are verified, two of each
-    two components before the others. Buckets of one component are done.
+    then takes the centres out. From the fourth on, a bucket with WHOLE members at most
+    outside the component of the smallest label has all these as centres, and is done.
+    A pair is held against each other only in the first of the buckets that it shares. Of a bucket with ``small`` members at most all
+    pairs are held against each other in the first round, and it is done. Pairs that
+    pass ``may_link`` are verified, of many those of two of each two components before
+    the others; FEW pairs by ``verify_few``, if it is given. Buckets of one component are
+    done. Buckets are told apart by 64-bit hashes.
     """
-    members = members.select("bucket", "id").distinct()
+    members = members.select(F.xxhash64("bucket").alias("bucket"), "id").distinct()
     if small:
         members = members.join(members.groupBy("bucket").agg(F.count("*").alias("members")), "bucket")
     members = scratch.keep("members", members.join(items, "id"))
-    near = None
     if small:
         few, members = members.where(F.col("members") <= small), members.where(F.col("members") > small).drop("members")
         both = few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & may_link(similarity, "x", "y"))
         near = scratch.keep("near", both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
         first = first.select("a", "b").union(near)
     data = [c for c in members.columns if c not in ("bucket", "id")]
-    own = members.groupBy("id").agg(F.min("bucket").alias("bucket"))
-    labels = tried = None
+    # a row for each item, so that its label is looked up once a round: all its buckets and those that are left
+    nodes = members.groupBy("id").agg(*[F.first(c).alias(c) for c in data], F.collect_list("bucket").alias("all"))
+    nodes = scratch.keep("nodes", nodes.withColumn("left", F.col("all")))
+    labels = tried = None  # tried: the pairs of the first rounds
     turn = 0
     while True:
         turn += 1
-        if turn == 1:
-            live = members.join(own, ["id", "bucket"], "left_semi").withColumn("label", F.col("id"))
-        else:
-            base = members.join(own, ["id", "bucket"], "left_semi") if turn <= NARROW else members
-            known = base.join(labels, "id", "left").select("bucket", "id", *data, F.coalesce("label", "id").alias("label"))
-            open_ = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-            live = known.join(open_, "bucket", "left_semi")
-        live = scratch.keep(f"live{turn}", live)
+        named = nodes.withColumn("label", F.col("id")) if turn == 1 else nodes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        known = named.select("id", *data, "all", "label", F.explode(F.array(F.array_min("all")) if turn <= NARROW else F.col("left")).alias("bucket"))
+        known = scratch.keep(f"known{turn}", known)
+        # sizes by label, so that a large bucket's are summed up in many tasks
+        counts = known.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket")
+        open_ = counts.agg(F.sum("n").alias("size"), F.min(F.struct("label", "n")).alias("low"), F.count("*").alias("labels")).where("labels > 1")
+        open_ = open_.select("bucket", "size", F.col("low.label").alias("low"), (F.col("size") - F.col("low.n")).alias("rest"))
+        live = scratch.keep(f"live{turn}", known.join(open_, "bucket"))
+        scratch.drop(f"known{turn}")
         if turn > NARROW:
-            scratch.drop(f"members{turn - 1}" if turn > NARROW + 1 else "members")
+            scratch.drop(f"nodes{turn - 1}" if turn > NARROW + 1 else "nodes")
         # each slot of a bucket has one centre: the largest id of its largest label
-        slots = (1, 4, 8, CENTRES)[min(turn, 4) - 1]
-        slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(slots)).cast("int")
-        best = live.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("label", "id")).alias("top")).select("bucket", F.col("top.id").alias("id"))
-        centres = scratch.keep(f"centres{turn}", live.join(best, ["bucket", "id"]))
+        slots = (1, 16, 32, CENTRES)[min(turn, 4) - 1]
+        slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(slots))
         apart = F.col("x.id") != F.col("y.id") if turn == 1 else F.col("x.label") != F.col("y.label")
-        star = _star(scratch, live, centres, apart & may_link(similarity, "x", "y"))
+        some = live.where(F.col("rest") > WHOLE) if turn >= 4 else live
+        best = some.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("label", "id")).alias("top")).select("bucket", F.col("top.id").alias("id"))
+        centres = some.join(best, ["bucket", "id"]).select(live.columns)
+        if turn >= 4:
+            centres = centres.union(live.where((F.col("rest") <= WHOLE) & (F.col("label") != F.col("low"))))
+            apart &= (F.col("x.rest") > WHOLE) | (F.col("x.label") == F.col("x.low")) | (F.col("x.id") < F.col("y.id"))
+        centres = scratch.keep(f"centres{turn}", centres)
+        apart &= may_link(similarity, "x", "y")
+        if turn > NARROW:
+            apart &= F.array_min(F.array_intersect("x.all", "y.all")) == F.col("x.bucket")
+        star = _star(scratch, live, centres, apart)
         star = star.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.least("x.label", "y.label").alias("la"), F.greatest("x.label", "y.label").alias("lb"))
         # in the first round every item is its own label
         pairs = (first.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb")).union(star) if turn == 1 else star).distinct()
-        if tried is not None:
+        if 1 < turn <= NARROW:  # later centres leave the bucket in which their pairs are held against each other
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.keep(f"pairs{turn}", pairs)
-        scratch.drop("large-buckets")
         told = pairs.select("a", "b")
-        tried = told if tried is None else tried.union(told)
+        tried = told if turn == 1 else tried.union(told)
         if turn == 1:
             labels = connected(scratch, scratch.keep("links1", verify(told).select("a", "b")), "labels1")
-        elif pairs.take(1):
-            labels = _joined_by(scratch, pairs, labels, verify, f"{turn}")
+        elif count := pairs.count():
+            labels = _joined_by(scratch, pairs, count, labels, verify, verify_few or verify, f"{turn}")
         if turn > NARROW:
-            gone = centres.select("bucket", "id")
-            members = scratch.keep(f"members{turn}", live.select("bucket", "id", *data).join(gone, ["bucket", "id"], "left_anti"))
+            left = some.join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti")
+            left = left.groupBy("id").agg(*[F.first(c).alias(c) for c in (*data, "all")], F.collect_list("bucket").alias("left"))
+            nodes = scratch.keep(f"nodes{turn}", left)
         scratch.drop(f"live{turn}", f"centres{turn}")
         scratch.release()
-        if not members.take(1):
+        if not nodes.take(1):
             return labels

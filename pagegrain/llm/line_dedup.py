@@ -114,9 +114,11 @@ def _components(scratch: Scratch, lines: DataFrame) -> DataFrame:
     first = scratch.keep("first", first.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(may_link(SIMILARITY, "x", "y")).select("a", "b"))
     scratch.drop(*[f"buckets{part}" for part in range(SLICES)])
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, few: bool = False) -> DataFrame:
         ends = [texts.select(F.col("key").alias(end), _units("line").alias(f"u{end}"), F.expr(f"2 * length(line) - {2 * SHINGLE - 1}").alias(f"last{end}")) for end in ("a", "b")]
-        both = pairs.select("a", "b").join(ends[0], "a").join(ends[1], "b")
+        # few pairs and their texts are broadcast, so that the table of texts is read and not sorted
+        one = F.broadcast(F.broadcast(pairs.select("a", "b")).join(ends[0], "a")) if few else pairs.select("a", "b").join(ends[0], "a")
+        both = one.join(ends[1], "b")
         # the sets of both sides from rows of WIDE_GROUP shingles: a lambda over the units would copy them for each shingle
         rows = both.select("a", "b", "ua", "ub", "lasta", "lastb", F.explode(F.expr(f"sequence(1, greatest(lasta, lastb), {2 * WIDE_GROUP})")).alias("at"))
         parts = rows.select("a", "b", *[F.array(*_hashes(f"u{end}", f"last{end}", WIDE_GROUP)).alias(f"s{end}") for end in ("a", "b")])
@@ -125,7 +127,7 @@ def _components(scratch: Scratch, lines: DataFrame) -> DataFrame:
         sized = sets.select("a", "b", F.inline(F.array(F.struct((F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("shared")))))
         return sized.where(100 * F.col("shared") >= SIMILARITY * (F.col("total") - F.col("shared")))
 
-    return link_buckets(scratch, first, members, items, SIMILARITY, verify, SMALL)
+    return link_buckets(scratch, first, members, items, SIMILARITY, verify, SMALL, lambda pairs: verify(pairs, few=True))
 
 
 def dropped_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:

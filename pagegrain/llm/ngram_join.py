@@ -218,7 +218,7 @@ def _joined(documents: DataFrame, scratch: Scratch) -> DataFrame:
     x, y = items.alias("x"), items.alias("y")
     close = pairs.union(more).distinct().join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(may_link(SIMILARITY, "x", "y"))
     labels = link_buckets(scratch, close.select("a", "b"), buckets, items, SIMILARITY, verify)
-    node = scratch.keep("nodes", classes.join(labels, "id", "left").select("n", "set1", "set2", "doc_id", F.coalesce("label", "id").alias("label")))
+    node = scratch.keep("labelled", classes.join(labels, "id", "left").select("n", "set1", "set2", "doc_id", F.coalesce("label", "id").alias("label")))
     lowest = scratch.keep("lowest", node.groupBy("label").agg(F.min("doc_id").alias("component_id")))
     joined = scratch.keep("joined", node.join(lowest, "label").select("n", "set1", "set2", F.col("doc_id").alias("class_id"), "component_id", "label"))
     rows = signed.select("doc_id", "text_hash", "n", "set1", "set2")

@@ -103,3 +103,47 @@ def test_small_buckets_take_one_round(spark, monkeypatch, small):
     kept.clear()
     components.link_buckets(scratch, first, members.where("bucket != 'one'"), items, 80, verify, small)
     assert ("live2" in kept) == (small == 0)
+
+
+@pytest.mark.parametrize(("small", "whole", "few", "split"), [(0, 2000, 20_000, 2000), (6, 0, 0, 1), (6, 3, 20_000, 5)])
+def test_linked_pairs_of_overlapping_buckets(spark, monkeypatch, small, whole, few, split):
+    """The components of all pairs that share a bucket, whether what is left of a bucket is compared at once or not."""
+    for name, value in (("WHOLE", whole), ("FEW", few), ("SPLIT", split), ("CENTRES", 4)):
+        monkeypatch.setattr(components, name, value)
+    rng = random.Random(3)
+    base = [[rng.randrange(-(2**63), 2**63) for _ in range(40)] for _ in range(12)]
+    own = [rng.choice(base)[: rng.randint(25, 40)] for _ in range(120)]
+    buckets = [(f"b{k}", i) for i in range(len(own)) for k in rng.sample(range(9), rng.randint(0, 4))] + [(f"c{i // 3}", i) for i in range(len(own))]
+    sets = spark.createDataFrame(list(enumerate(own)), "id long, s array<long>")
+    held = {frozenset((i, j)) for b, i in buckets for c, j in buckets if b == c and i < j}
+    links = [(i, j) for i, j in map(sorted, held) if 5 * len({*own[i]} & {*own[j]}) >= 4 * len({*own[i]} | {*own[j]})]
+
+    def verify(pairs):
+        a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+        return pairs.join(a, "a").join(b, "b").where(5 * F.size(F.array_intersect("sa", "sb")) >= 4 * F.size(F.array_union("sa", "sb"))).select("a", "b")
+
+    first = spark.createDataFrame([], "a long, b long")
+    got = components.link_buckets(Scratch(spark, "linked"), first, spark.createDataFrame(buckets, "bucket string, id long"), components.list_parities(sets, "id", "s", 8), 80, verify, small)
+    assert {r.id: r.label for r in got.collect()} == plain(links)
+
+
+def test_items_meet_once_in_their_buckets(spark, monkeypatch):
+    """Unlinked items that share many buckets took several rounds, and a row for each bucket and pair of a round."""
+    kept, made = [], []
+    keep, star = Scratch.keep, components._star
+    monkeypatch.setattr(Scratch, "keep", lambda self, name, df: kept.append(name) or keep(self, name, df))
+
+    def counted(scratch, live, centres, on):
+        out = star(scratch, live, centres, on)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "_star", counted)
+    monkeypatch.setattr(components, "CENTRES", 8)
+    # pairs pass by their parity words: nine members, ten or so in common with the same word
+    sets = spark.createDataFrame([(i, list(range(20))) for i in range(60)], "id long, s array<long>")
+    members = spark.createDataFrame([(b, i) for b in range(10) for i in range(60)], "bucket long, id long")
+    first = spark.createDataFrame([], "a long, b long")
+    got = components.link_buckets(Scratch(spark, "linked"), first, members, components.list_parities(sets, "id", "s", 8), 80, lambda pairs: pairs.where("false"))
+    assert got.count() == 0
+    assert "live5" not in kept and sum(made[2:]) <= 60 * 59 + 16 * 60
